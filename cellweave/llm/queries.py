@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from cellweave.llm import packing, sentencepieces
+from cellweave.llm import langid, packing, quality_classifier, quality_rules, sentencepieces, simhash, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.query,
+    "op2_quality_rules": quality_rules.query,
+    "op3_simhash": simhash.query,
+    "op5_warc": warc.query,
+    "op6_quality_classifier": quality_classifier.query,
     "op7_packing": packing.query,
+    "op8_langid": langid.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -47,11 +46,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives a lost executor."""
+    """Write df to the shared folder and read it back: cuts the lineage and survives a lost executor.  `scratch` is its folder."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -96,6 +97,3 @@ def stable_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows whose hashed key is smallest: the same rows whatever the partitioning, never more than n."""
     return df.orderBy(F.xxhash64(key), key).limit(n)
 
-
-def env_flag(name: str) -> bool:
-    return os.environ.get(name, "") not in ("", "0")
