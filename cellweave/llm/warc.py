@@ -285,8 +285,13 @@ def write(recs: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of all archives under path; a record without a WARC-Type is none.
+
+    The predicate is no mere check: Spark keeps the reader of a relation with the filters pushed last, and plans it anew only where a scan
+    has filters.  As every scan has this one, a frame can be used again with others.
+    """
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(path).where("record_type is not null")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
