@@ -1,17 +1,17 @@
 """Language-model scoring by prediction by partial matching, beside a word-count baseline over the whole training part.
 
-The model is a trie of byte contexts, up to three bytes deep, with the counts of all training texts.  An unseen byte escapes to the
+The model is a trie of byte contexts, up to DEPTH bytes deep, with the counts of all training texts.  An unseen byte escapes to the
 shorter context with probability q/(T+q) (q: different bytes seen, T: all), and bytes that the longer context has seen are excluded
 there.  A context's bytes are among those of any suffix of it, so what is excluded at a level depends on one node only; the
 probability of every byte after every node is then a fixed table, and a text is scored by gathering from it.  Scores are log10 of the
-probability of the lower-cased text's bytes; each text starts with three zero bytes as context.
+probability of the lower-cased text's bytes; each text starts with DEPTH zero bytes as context.
 
-Counts come from all training rows.  The trie keeps at most NODES contexts of three bytes, the most frequent ones (a bound on the
-model, not on the data); its shorter contexts are complete.
+Counts come from all training rows.  Of contexts longer than two bytes the trie keeps at most NODES of each length, the most frequent
+ones (a bound on the model, not on the data); its shorter contexts are complete.
 
 Word counts: rows are dealt into parts of the input's own partitions.  Each part sends its distinct words with their counts; these are summed by
 word, and each part gets its words' sums back and scores its texts, so (text, word) pairs are never shuffled and no vocabulary is
-broadcast.  Words travel as 96-bit hashes.
+broadcast.  Words travel as 96-bit hashes, and go back packed.
 
 Null texts are empty (one token, the end).  Rows with equal ids are scored each.  Without training rows N and V are zero.
 """
@@ -27,16 +27,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import crc_mod, materialise, read, ship_package, slices, texts_of
+from cellweave.llm.runtime import crc_mod, materialise, read, remove, ship_package, slices, texts_of
 
-NODES = 1 << 15
+DEPTH = 5
+#: Contexts kept of each length above two, the most frequent ones.
+NODES = {3: 1 << 15, 4: 1 << 15, 5: 1 << 15}
 #: Distinct words of a part that a worker holds before it sends them on.
 PART_WORDS = 400_000
 #: Stored bytes of a part.
 PART_BYTES = 32 << 20
+#: Stored bytes that one task counts grams in.
+GRAM_BYTES = 64 << 20
 #: No word: words are UTF-8.
 END = b"\xff"
-PAD = b"\0\0\0"
+PAD = bytes(DEPTH)
 
 
 def word_hash(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,49 +51,81 @@ def word_hash(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(texts: list[bytes]) -> np.ndarray:
-    """Every byte of the texts with the three before it, as one number each."""
-    a = np.frombuffer(b"".join(PAD + t for t in texts), np.uint8).astype(np.uint32)
-    code = a[:-3] << 24 | a[1:-2] << 16 | a[2:-1] << 8 | a[3:]
-    ends = np.cumsum([len(t) + 3 for t in texts])[:-1]
+    """Every byte of the texts with the DEPTH bytes before it, as one number each."""
+    a = np.frombuffer(b"".join(PAD + t for t in texts), np.uint8).astype(np.uint64)
+    code = np.zeros(max(len(a) - DEPTH, 0), np.uint64)
+    for k in range(DEPTH + 1):
+        code = code << np.uint64(8) | a[k : k + len(code)]
+    ends = np.cumsum([len(t) + DEPTH for t in texts])[:-1]
     keep = np.ones(len(code), bool)
-    keep[(ends[:, None] + np.arange(-3, 0)).ravel()] = False  # windows that end in the next text's padding
+    keep[(ends[:, None] + np.arange(-DEPTH, 0)).ravel()] = False  # windows that end in the next text's padding
     return code[keep]
 
 
 class Trie:
-    """log10 probability of each byte after each kept context."""
+    """log10 probability of each byte after each kept context.
 
-    def __init__(self, third: tuple[np.ndarray, np.ndarray], fourth: tuple[np.ndarray, np.ndarray]):
-        """third: (code of two context bytes and a byte, count), all of them; fourth: the same with three context bytes, of kept contexts."""
-        code, n = np.asarray(third[0], np.int64), np.asarray(third[1], float)
+    counts: for context lengths 2 to DEPTH, (code of the context's bytes and a byte, count) in order of code.  Those of length 2 are
+    complete; of the longer contexts some are kept, each with all of its bytes.
+    """
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        code, n = np.asarray(counts[0][0], np.int64), np.asarray(counts[0][1], float)
         c0 = np.bincount(code & 255, n, 256)[None, :]
         c1 = np.bincount(code & 0xFFFF, n, 65536).reshape(256, 256)
         p0, b0 = self.level(c0, np.zeros((1, 256)), np.full((1, 256), 1 / 256))
         p1, b1 = self.level(c1, np.broadcast_to(c0, (256, 256)), np.broadcast_to(b0, (256, 256)))
-        two, row = np.unique(code >> 8, return_inverse=True)
-        c2 = np.zeros((len(two), 256))
-        c2[row, code & 255] = n
-        p2, b2 = self.level(c2, c1[two & 255], b1[two & 255])
-        code4, n4 = np.asarray(fourth[0], np.int64), np.asarray(fourth[1], float)
-        three, row4 = np.unique(code4 >> 8, return_inverse=True)
-        parent = np.searchsorted(two, three & 0xFFFF)
-        tables = [p0, p1, p2]
-        order = np.argsort(row4, kind="stable")
-        row4, code4, n4 = row4[order], code4[order], n4[order]
-        for at in range(0, len(three), 4096):
-            lo, hi = np.searchsorted(row4, [at, at + 4096])
-            c3 = np.zeros((min(4096, len(three) - at), 256))
-            c3[row4[lo:hi] - at, code4[lo:hi] & 255] = n4[lo:hi]
-            q = parent[at : at + 4096]
-            tables.append(self.level(c3, c2[q], b2[q])[0])
-        self.log = np.log10(np.concatenate(tables)).astype(np.float32)
-        # Row of a context of two bytes: its own, else that of its last byte; below it, the rows of contexts of three.
+        self.levels, below, base = [], None, 257
+        for k, (code, n) in enumerate(counts):
+            code, n = np.asarray(code, np.int64), np.asarray(n, float)
+            context = np.unique(code >> 8)
+            if below is None:
+                parent = context & 255
+            else:  # a context is kept only if its suffix is
+                suffix = context & ((1 << 8 * (k + 1)) - 1)
+                parent = np.minimum(np.searchsorted(below, suffix), max(len(below) - 1, 0))
+                has = below[parent] == suffix if len(below) else np.zeros(len(context), bool)
+                kept = np.isin(code >> 8, context[has])
+                code, n, context, parent = code[kept], n[kept], context[has], parent[has]
+            order = np.argsort(parent, kind="stable")
+            self.levels.append({"code": code, "n": n, "context": context, "parent": parent, "order": order, "sorted": parent[order], "ptr": np.searchsorted(code >> 8, context), "base": base})
+            base += len(context)
+            below = context
+        self.log = np.empty((base, 256), np.float32)
+        self.log[0], self.log[1:257] = np.log10(p0[0]), np.log10(p1)
+        self.grow(0, np.arange(256), c1, b1)
+        # Row of a context of two bytes: its own, else that of its last byte; below it, the rows of longer contexts.  Row -1 of a table: none.
+        two = self.levels[0]["context"]
         self.second = np.tile(np.where(c1.sum(1) > 0, np.arange(256) + 1, 0), 256).astype(np.int32)
         self.second[two] = 257 + np.arange(len(two))
         self.slot = np.full(65536, -1, np.int32)
         self.slot[two] = np.arange(len(two))
-        self.child = np.full((len(two) + 1, 256), -1, np.int32)
-        self.child[parent, three >> 16] = 257 + len(two) + np.arange(len(three))
+        self.child = []
+        for k, v in enumerate(self.levels[1:], 1):
+            table = np.full((len(self.levels[k - 1]["context"]) + 1, 256), -1, np.int32)
+            table[v["parent"], v["context"] >> 8 * (k + 1)] = np.arange(len(v["context"]))
+            self.child.append(table)
+        self.bases = [v["base"] for v in self.levels[1:]]
+        self.levels = []
+
+    def grow(self, k: int, parents: np.ndarray, above: np.ndarray, back_above: np.ndarray) -> None:
+        """Rows of all contexts of level k whose suffixes are these parents, then of those below them, a block at a time."""
+        v = self.levels[k]
+        lo, hi = np.searchsorted(v["sorted"], parents, "left"), np.searchsorted(v["sorted"], parents, "right")
+        size = hi - lo
+        own = np.repeat(np.arange(len(parents)), size)
+        nodes = v["order"][np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        stops = np.append(v["ptr"][1:], len(v["code"]))
+        for at in range(0, len(nodes), 1024):
+            one, up = nodes[at : at + 1024], own[at : at + 1024]
+            counts = np.zeros((len(one), 256))
+            n = stops[one] - v["ptr"][one]
+            take = np.repeat(v["ptr"][one] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            counts[np.repeat(np.arange(len(one)), n), v["code"][take] & 255] = v["n"][take]
+            rows, back = self.level(counts, above[up], back_above[up])
+            self.log[v["base"] + one] = np.log10(rows)
+            if k + 1 < len(self.levels):
+                self.grow(k + 1, one, counts, back)
 
     @staticmethod
     def level(counts: np.ndarray, above: np.ndarray, back_above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,84 +144,139 @@ class Trie:
         return p, back
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
         a = np.frombuffer(b"".join(PAD + t for t in texts), np.uint8)
-        starts = np.cumsum([0, *(len(t) + 3 for t in texts)])[:-1]
+        starts = np.cumsum([0, *(len(t) + DEPTH for t in texts)])[:-1]
         out = np.zeros(len(a))
-        step = 1 << 20
-        for at in range(3, len(a), step):
-            end = min(len(a), at + step)
-            x = a[at - 3 : end].astype(np.int32)
-            pair = x[1:-2] << 8 | x[2:-1]
-            row = self.child[self.slot[pair], x[:-3]]
-            row = np.where(row < 0, self.second[pair], row)
-            out[at:end] = self.log[row, x[3:]]
-        for k in range(3):
+        for at in range(DEPTH, len(a), 1 << 19):
+            end = min(len(a), at + (1 << 19))
+            x = a[at - DEPTH : end].astype(np.int32)
+            n = end - at
+            back = lambda k: x[DEPTH - k : DEPTH - k + n]  # noqa: B023, E731
+            pair = back(2) << 8 | back(1)
+            row, node = self.second[pair], self.slot[pair]
+            for k, (table, base) in enumerate(zip(self.child, self.bases, strict=True), 3):
+                node = table[node, back(k)]
+                row = np.where(node < 0, row, node + base)
+            out[at:end] = self.log[row, x[DEPTH:]]
+        for k in range(DEPTH):
             out[starts + k] = 0
-        return np.add.reduceat(out, starts) if len(texts) else out
-
+        return np.add.reduceat(out, starts)
 
-def gather(parts: DataFrame) -> DataFrame:
-    """(kind, part, h, g, n): kind 0, the distinct words of a part and their training counts; kind 1, counts of byte grams (in h)."""
-    names = ["kind", "part", "h", "g", "n"]
 
-    def rows(kind: int, part: int, h: np.ndarray, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(np.full(len(h), part, np.int64)), pa.array(h), pa.array(g), pa.array(n)], names=names)
+def gather_words(parts: DataFrame) -> DataFrame:
+    """(part, h, g, n): the distinct words of each part and how often they occur in its training texts."""
+    names = ["part", "h", "g", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, words = -1, {}
-        codes, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
         def flush():
             nonlocal words
             if words:
                 keys = list(words)
                 h, g = word_hash(keys)
-                yield rows(0, part, h, g, np.fromiter(words.values(), np.int64, len(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), part, np.int64)), pa.array(h), pa.array(g), pa.array(np.fromiter(words.values(), np.int64, len(keys)))], names=names)
                 words = {}
 
-        def flush_grams():
-            nonlocal codes, counts
-            if len(codes):
-                yield rows(1, -1, codes.astype(np.int64), np.zeros(len(codes), np.int32), counts)
-                codes, counts = codes[:0], counts[:0]
-
-        for batch in slices(batches, 1):
-            train = []
-            for t, p, learn in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for batch in slices(batches, 0):
+            for t, p, learn in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if p != part or len(words) > PART_WORDS:
                     yield from flush()
                     part = p
-                low = t.encode().lower()
                 if learn:
-                    train.append(low)
                     words[END] = words.get(END, 0) + 1
-                    for w in low.split():
+                    for w in t.encode().lower().split():
                         words[w] = words.get(w, 0) + 1
                 else:
                     words.setdefault(END, 0)
-                    for w in low.split():
+                    for w in t.encode().lower().split():
                         words.setdefault(w, 0)
-            if train:
-                one, n = np.unique(grams(train), return_counts=True)
-                codes, at = np.unique(np.concatenate([codes, one]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-                if len(codes) > 2_000_000:
-                    yield from flush_grams()
         yield from flush()
-        yield from flush_grams()
 
-    return parts.select("doc_id", "text", "part", "train").mapInArrow(run, "kind int, part long, h long, g int, n long")
+    return parts.select("text", "part", "train").mapInArrow(run, "part long, h long, g int, n long")
+
+
+def gather_grams(parts: DataFrame, tasks: int) -> DataFrame:
+    """(h, n): counts of byte grams of the training texts.  Fewer, longer tasks send fewer rows, as they meet the same grams again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return codes, np.bincount(at, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
+
+        def rows(codes, counts):
+            for at in range(0, len(codes), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + (1 << 18)].view(np.int64)), pa.array(counts[at : at + (1 << 18)])], names=["h", "n"])
+
+        for batch in slices(batches, 0):
+            held.append(np.unique(grams([t.encode().lower() for t in texts_of(batch.column(0))]), return_counts=True))
+            if sum(len(c) for c, _ in held) > 4_000_000:
+                held[:] = [merged()]
+                if len(held[0][0]) > 3_000_000:
+                    yield from rows(*held.pop())
+        if held:
+            yield from rows(*merged())
 
+    return parts.where("train").select("text").coalesce(tasks).mapInArrow(run, "h long, n long")
 
-def fit(counts: DataFrame, nodes: int = NODES) -> tuple:
-    """What Trie takes, from (h, n) rows of byte grams.  At most 2^24 and 256 * nodes rows come to the driver."""
+
+def fit(counts: DataFrame, nodes: dict[int, int] = NODES) -> list[tuple]:
+    """What Trie takes, from (h, n) rows of byte grams.  At most 2^24 rows and 256 for each kept node come to the driver."""
     total = materialise(counts.groupBy("h").agg(F.sum("n").alias("n")), "grams")
-    third = total.groupBy(F.col("h").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("h")).agg(F.sum("n").alias("n"))
-    context = F.shiftright("h", 8)
-    top = total.groupBy(context.alias("c")).agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "c").limit(nodes)
-    fourth = total.join(F.broadcast(top), context == F.col("c")).select("h", "n")
-    pairs = lambda df: tuple(df.toPandas().sort_values("h")[c].to_numpy() for c in ("h", "n"))
-    return pairs(third), pairs(fourth)
+
+    def level(k: int) -> tuple:
+        """Counts by the last k context bytes; of more than two, those of the contexts seen most often."""
+        mask = F.lit((1 << 8 * (k + 1)) - 1).cast("long")
+        got = total if k == DEPTH else total.groupBy(F.col("h").bitwiseAND(mask).alias("h")).agg(F.sum("n").alias("n"))
+        if k > 2:
+            context = F.shiftright("h", 8)
+            top = got.groupBy(context.alias("c")).agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "c").limit(nodes[k])
+            got = got.join(F.broadcast(top), context == F.col("c")).select("h", "n")
+        pdf = got.toPandas().sort_values("h")
+        return pdf["h"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+
+    out = [level(k) for k in range(2, DEPTH + 1)]
+    remove(total.sparkSession, total.scratch)
+    return out
+
+
+def summed(words: DataFrame) -> DataFrame:
+    """(part, h, g, c, n_sum, v_count): the sums of all words by word, packed per part; rows of part -1 hold totals of N and V."""
+    same = Window.partitionBy("h", "g")
+    counted = words.select("part", "h", "g", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("part")) == 1).alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, n_sum, v_count = [], 0, 0, 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            p, h, g, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(p, kind="stable")
+            p, h, g, c = p[order], h[order], g[order], c[order]
+            cuts = [0, *(np.flatnonzero(np.diff(p)) + 1), len(p)]
+            blobs = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in (h, g, c)]
+            yield rows(p[cuts[:-1]], *blobs, 0, 0)
+
+        def rows(p, h, g, c, n, v):
+            many = np.zeros(len(p), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(p), *(pa.array(x, pa.binary()) for x in (h, g, c)), pa.array(many + n), pa.array(many + v)], names=["part", "h", "g", "c", "n_sum", "v_count"])
+
+        for batch in batches:
+            p, h, g, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            held.append((p, h, g, c))
+            size += len(p)
+            n_sum, v_count = n_sum + int(c[first].sum()), v_count + int((c[first] > 0).sum())
+            if size > 1_000_000:
+                yield from packed()
+                held, size = [], 0
+        if held:
+            yield from packed()
+        yield rows(np.array([-1]), [b""], [b""], [b""], n_sum, v_count)
+
+    return counted.mapInArrow(run, "part long, h binary, g binary, c binary, n_sum long, v_count long")
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,18 +289,20 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     part = F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64(id_col), F.lit(split))
     # Written, so that a row's part stays the same whatever is computed again.
     parts = materialise(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), part.alias("part"), train.alias("train")), "parts")
-    gathered = materialise(gather(parts), "gathered")
-    words = gathered.where("kind = 0").groupBy("h", "g", "part").agg(F.sum("n").alias("n"))
-    same = Window.partitionBy("h", "g")
-    back = materialise(words.select("part", "h", "g", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("part")) == 1).alias("first")), "words")
-    totals = back.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n_parts = int(parts.agg(F.coalesce(F.max("part") + 1, F.lit(1))).first()[0])
+    words = materialise(gather_words(parts), "words")
+    # A part's words may come in several rows, where a worker had too many to hold.
+    back = materialise(summed(words.groupBy("h", "g", "part").agg(F.sum("n").alias("n"))), "sums")
+    remove(spark, words.scratch)
+    totals = back.where("part = -1").agg(F.coalesce(F.sum("n_sum"), F.lit(0)).alias("n"), F.coalesce(F.sum("v_count"), F.lit(0)).alias("v")).first()
     n_all, v_all = int(totals["n"]), int(totals["v"])
-    shared = spark.sparkContext.broadcast(fit(gathered.where("kind = 1").select("h", "n")))
+    shared = spark.sparkContext.broadcast(fit(gather_grams(parts, max(1, -(-n_parts * per // split // GRAM_BYTES)))))
     none = lambda t: F.lit(None).cast(t)
-    rows = back.select("part", F.lit(0).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", "c").unionByName(
-        parts.select("part", F.lit(1).alias("at"), "doc_id", "text", none("long").alias("h"), none("int").alias("g"), none("long").alias("c"))
+    rows = back.where("part >= 0").select("part", F.lit(0).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", "c").unionByName(
+        parts.select("part", F.lit(1).alias("at"), "doc_id", "text", *(none("binary").alias(c) for c in "hgc"))
     )
-    rows = rows.repartition("part").sortWithinPartitions("part", "at")
+    # One task for each part; parts are of like size, whatever the keys of their rows.
+    rows = rows.repartitionById(n_parts, F.col("part").cast("int")).sortWithinPartitions("part", "at")
     names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     unit = math.log10(n_all + v_all + 1)
 
@@ -226,7 +319,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                     part, pieces, h, table = int(p_all[lo]), [], None, {}
                     logs, known = np.zeros(0), np.zeros(0, bool)
                 if at_all[lo] == 0:
-                    pieces.append([one.column(k).to_numpy() for k in (4, 5, 6)])
+                    pieces.append([np.frombuffer(b"".join(one.column(k).to_pylist()), t) for k, t in ((4, "<i8"), (5, "<i4"), (6, "<i8"))])
                     continue
                 if h is None:
                     h, g, c = (np.concatenate(x) for x in zip(*pieces, strict=True))
@@ -235,8 +328,10 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                     pieces = []
                 low = [t.encode().lower() for t in texts_of(one.column(3))]
                 split_up = [[*t.split(), END] for t in low]
-                fresh = [w for w in dict.fromkeys(w for s in split_up for w in s) if w not in table]
-                if fresh:
+                flat = [w for s in split_up for w in s]
+                ids = list(map(table.get, flat))
+                if None in ids:
+                    fresh = list({w for w, k in zip(flat, ids, strict=True) if k is None})
                     fh, fg = word_hash(fresh)
                     k = np.searchsorted(h, fh, "left")
                     while (miss := (h[k] == fh) & (g[k] != fg)).any():
@@ -246,11 +341,12 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                     table.update(zip(fresh, range(len(logs), len(logs) + len(fresh)), strict=True))
                     logs = np.concatenate([logs, np.log10(c[k] + 1.0) - unit])
                     known = np.concatenate([known, c[k] > 0])
+                    ids = list(map(table.get, flat))
                 n = np.array([len(s) for s in split_up], np.int64)
-                ids = np.fromiter((table[w] for s in split_up for w in s), np.int64, int(n.sum()))
+                at = np.array(ids, np.int64)
                 starts = np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
-                    [one.column(2), pa.array(n), pa.array(np.add.reduceat(known[ids].astype(np.int64), starts)), pa.array(np.full(len(n), n_all)), pa.array(np.add.reduceat(logs[ids], starts)), pa.array(trie.score(low))], names=names
+                    [one.column(2), pa.array(n), pa.array(np.add.reduceat(known[at].astype(np.int64), starts)), pa.array(np.full(len(n), n_all)), pa.array(np.add.reduceat(logs[at], starts)), pa.array(trie.score(low))], names=names
                 )
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -262,10 +358,10 @@ _TRIES: dict = {}
 def cached(shared) -> Trie:
     """This worker's table, built once for each model."""
     counts = shared.value
-    key = (shared.id if hasattr(shared, "id") else 0, len(counts[0][0]), float(counts[0][1].sum()), len(counts[1][0]))
+    key = tuple((len(code), int(code.sum()), int(n.sum())) for code, n in counts)
     if key not in _TRIES:
         _TRIES.clear()
-        _TRIES[key] = Trie(*counts)
+        _TRIES[key] = Trie(counts)
     return _TRIES[key]
 
 

@@ -132,16 +132,16 @@ def base_scores(rows):
     return {k: (len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for k, t in tokens.items()}
 
 
-def slow_ppm(train, text, depth=3):
+def slow_ppm(train, text, depth=ppm.DEPTH):
     """Prediction by partial matching with exclusion, byte by byte, from counts in dictionaries."""
     tables = [dict() for _ in range(depth + 1)]
     for t in train:
-        s = b"\0\0\0" + t
-        for k in range(3, len(s)):
+        s = bytes(depth) + t
+        for k in range(depth, len(s)):
             for d in range(depth + 1):
                 tables[d].setdefault(s[k - d : k], Counter())[s[k]] += 1
-    total, s = 0.0, b"\0\0\0" + text
-    for k in range(3, len(s)):
+    total, s = 0.0, bytes(depth) + text
+    for k in range(depth, len(s)):
         out, p = set(), 1.0
         for d in range(depth, -1, -1):
             here = {b: n for b, n in tables[d].get(s[k - d : k], {}).items() if b not in out}
@@ -179,7 +179,7 @@ def test_scores_on_odd_rows(odd, none):
 
 
 def test_scores_of_documents(spark, sf):
-    docs = read(spark, sf, "documents")
+    docs = read(spark, sf, "documents").where("doc_id < 30")  # so few that the trie keeps all contexts
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got, train = check_scores(docs, rows)
     short = sorted(rows, key=lambda r: len(r[1] or ""))[:20]
@@ -191,6 +191,13 @@ def test_trie_rows_are_distributions():
     rng = np.random.default_rng(5)
     texts = [bytes(rng.integers(0, 256, 3000).astype(np.uint8)) for _ in range(3)] + [b"abracadabra" * 40]
     code, n = np.unique(ppm.grams(texts), return_counts=True)
-    third, at = np.unique(code & 0xFFFFFF, return_inverse=True)
-    trie = ppm.Trie((third, np.bincount(at, n)), (code, n))
+    levels = []
+    for k in range(2, ppm.DEPTH + 1):
+        masked, at = np.unique(code & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        masked, total = masked.astype(np.int64), np.bincount(at, n)
+        if k > 2:  # a part of the contexts only
+            keep = np.isin(masked >> 8, np.unique(masked >> 8)[::3] if k < 5 else np.unique(masked >> 8))
+            masked, total = masked[keep], total[keep]
+        levels.append((masked, total))
+    trie = ppm.Trie(levels)
     assert np.allclose((10.0 ** trie.log.astype(float)).sum(1), 1, atol=1e-5)
