@@ -20,6 +20,7 @@ from cellweave.operators import loss as S
 from cellweave.operators import move as M
 from cellweave.operators import norm as N
 from cellweave.operators import pool as K
+from cellweave.operators import team as W
 from cellweave.plans.geometry import Window, halos, windows
 from cellweave.plans.partition import CartesianPartition, grid_of
 from cellweave.schema import grid, index_columns
@@ -664,3 +665,99 @@ add("adjoint_identity_linear", _id_linear, _id_sql(f"{X}, {WSQL}, f AS (SELECT x
 add("adjoint_identity_conv", _id_conv, _id_sql(f"{E}, {_kernel_sql(3, 5, (5, 3))}, {_y_sql('e', _C2S, bias=False)}, f AS (SELECT * FROM y)", _IDX))
 add("adjoint_identity_upsample", _id_upsample, _id_sql(_interp_sql(_EM, E_SHAPE, (1, 5, 60, 48), "linear", scale=2).removeprefix("WITH ").replace(") SELECT i0, i1, i2, i3, round(v, 6) + 0.0 AS v FROM y", "), f AS (SELECT * FROM y)"), _IDX))
 
+
+# Teams ---------------------------------------------------------------------------------------------------------------------
+
+# Beyond the edge is -1 here, so that the columns stay integers in every client.
+add("worker_grid", lambda spark, d: W.worker_grid(spark, grid_of((3, 4))).fillna(-1), """
+SELECT a.k * 4 + b.k AS rank, a.k AS k0, b.k AS k1, CASE WHEN a.k > 0 THEN (a.k - 1) * 4 + b.k ELSE -1 END AS left0, CASE WHEN a.k < 2 THEN (a.k + 1) * 4 + b.k ELSE -1 END AS right0,
+       CASE WHEN b.k > 0 THEN a.k * 4 + b.k - 1 ELSE -1 END AS left1, CASE WHEN b.k < 3 THEN a.k * 4 + b.k + 1 ELSE -1 END AS right1
+FROM range(3) a(k), range(4) b(k)
+""")
+add("sub_grids", lambda spark, d: W.sub_grids(spark, grid_of((2, 3, 4)), (True, False, True)), """
+SELECT b.k AS line, (a.k * 3 + b.k) * 4 + c.k AS rank, a.k * 4 + c.k AS place FROM range(2) a(k), range(3) b(k), range(4) c(k)
+""")
+
+
+def _unbalanced_shapes(spark, sf_dir):
+    n = vectors(spark, sf_dir)
+    sizes = ((n // 10, n // 5, n - n // 10 - n // 5), (20, WIDTH - 20))
+    return W.block_shapes(M.place(T.embeddings(spark, sf_dir), (n, WIDTH), grid_of((3, 2)), sizes), 2)
+
+
+add("block_shapes_unbalanced", _unbalanced_shapes, f"""
+WITH n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT 0 AS k, n // 10 AS n0 FROM n UNION ALL SELECT 1, n // 5 FROM n UNION ALL SELECT 2, n - n // 10 - n // 5 FROM n)
+SELECT CAST(s.k * 2 + t.k AS BIGINT) AS rank, s.n0, CAST(CASE WHEN t.k = 0 THEN 20 ELSE 44 END AS BIGINT) AS n1 FROM s, range(2) t(k)
+""")
+
+
+def _worker_vectors(spark, sf_dir):
+    """Each worker's number of cells and smallest and largest index."""
+    placed = M.place(T.embeddings(spark, sf_dir), (vectors(spark, sf_dir), WIDTH), grid_of((4, 1)))
+    return placed.groupBy("rank").agg(F.array(F.count("*"), F.min("i0"), F.max("i0") + 1).alias("data"))
+
+
+_VEC = f"v AS (SELECT {own('i0', NX, 4)} AS rank, count(*) AS a, min(i0) AS b, max(i0) + 1 AS c FROM x GROUP BY 1)"
+add("all_gather", lambda spark, d: W.all_gather(_worker_vectors(spark, d)).select("rank", F.posexplode("gathered").alias("p", "g")).select("rank", F.col("p").cast("long").alias("source"), F.col("g")[0].alias("cells"), F.col("g")[1].alias("first"), F.col("g")[2].alias("stop")), f"WITH {X}, {_VEC} SELECT r.rank, v.rank AS source, v.a AS cells, v.b AS first, v.c AS stop FROM v r, v")
+for _op in ("sum", "min", "max"):
+    add(f"all_reduce_vectors_{_op}", (lambda op: lambda spark, d: W.all_reduce_vectors(_worker_vectors(spark, d), op))(_op), f"WITH {X}, {_VEC} SELECT CAST(0 AS BIGINT) AS position, CAST({_op}(a) AS BIGINT) AS v FROM v UNION ALL SELECT 1, CAST({_op}(b) AS BIGINT) FROM v UNION ALL SELECT 2, CAST({_op}(c) AS BIGINT) FROM v")
+add("broadcast_vector", lambda spark, d: W.broadcast_vector(_worker_vectors(spark, d), 2, (0, 2, 3, 7)).select("rank", F.col("data")[0].alias("cells"), F.col("data")[1].alias("first")), f"WITH {X}, {_VEC} SELECT r.r AS rank, a AS cells, b AS first FROM v, {values([(0,), (2,), (3,), (7,)], 'r')} r WHERE v.rank = 2")
+
+# Line items as a tensor of four channels -------------------------------------------------------------------------------------
+
+_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _lines(spark, sf_dir):
+    """(i1 = column, v) of every line; only the four columns are read."""
+    t = T.lineitem_columns(spark, sf_dir).select(F.posexplode(F.array(*_COLUMNS)).alias("p", "v"))
+    return t.select(F.col("p").cast("long").alias("i1"), "v")
+
+
+_LINES = "l AS (" + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS i1, {c} AS v FROM lineitem" for k, c in enumerate(_COLUMNS)) + ")"
+add("batch_stats_lines", lambda spark, d: N.batch_stats(_lines(spark, d)).select("i1", F.round("mean", 4).alias("mean"), F.round(F.sqrt("var"), 4).alias("deviation")), f"WITH {_LINES} SELECT i1, round(avg(v), 4) AS mean, round(sqrt(var_pop(v)), 4) AS deviation FROM l GROUP BY i1")
+
+
+def _line_sums(spark, sf_dir):
+    """Cents of each flag and status, summed over all statuses and over all."""
+    p = grid_of((3, 2))
+    t = T.lineitem_columns(spark, sf_dir)
+    at = F.expr("case i0 when 65 then 0 when 78 then 1 else 2 end * 2 + case i1 when 70 then 0 else 1 end")
+    blocks = t.select(at.cast("long").alias("rank"), F.lit(0).cast("long").alias("l0"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("v"))
+    held = blocks.groupBy("rank", "l0").agg(F.sum("v").alias("v"))
+    return M.all_reduce(held, p, axes_reduce=(1,))
+
+
+add("all_sum_reduce_lines", _line_sums, """
+WITH h AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS f, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS s, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS v FROM lineitem GROUP BY ALL)
+SELECT CAST(f * 2 + s AS BIGINT) AS rank, CAST(0 AS BIGINT) AS l0, CAST(sum(v) OVER (PARTITION BY f) AS BIGINT) AS v FROM h
+""")
+
+
+def _line_loss(spark, sf_dir):
+    t = T.lineitem_columns(spark, sf_dir)
+    return rounded(S.loss(t.select(F.col("l_discount").alias("v"), F.col("l_tax").alias("y")), "bce", "mean"))
+
+
+add("loss_bce_lines", _line_loss, f"SELECT round(avg(-(y * {_LN.format('x')} + (1 - y) * {_LN.format('(1 - x)')})), 6) + 0.0 AS v FROM (SELECT l_discount AS x, l_tax AS y FROM lineitem)")
+
+
+def _id_all_sum(spark, d):
+    p, names = grid_of((2, 4)), ["rank", "l0", "l1"]
+    x = _blocks(spark, d, p)
+    f = M.all_reduce(x, p, axes_reduce=(1,))
+    y = _wave(f, names)
+    return _identity(f, y, names, x, M.all_reduce(y, p, axes_reduce=(1,)), names)
+
+
+add("adjoint_identity_all_sum_reduce", _id_all_sum, _id_sql(f"{_blocks_sql((2, 4))}, f AS (SELECT rank, l0, l1, sum(v) OVER (PARTITION BY rank // 4, l0, l1) AS v FROM b)", _BLK))
+
+
+def _id_avg_pool(spark, d):
+    x = T.events_grid(spark, d)
+    f = K.avg_pool(x, _P2)
+    y = _wave(f, _IDX)
+    return _identity(f, y, _IDX, x, K.avg_pool_adjoint(y, _P2), _IDX)
+
+
+add("adjoint_identity_avg_pool", _id_avg_pool, _id_sql(f"{_pool_y('avg')}, f AS (SELECT * FROM y)", _IDX))

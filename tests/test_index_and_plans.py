@@ -156,3 +156,24 @@ def test_nothing_moves_onto_the_same_grid(spark):
     x = M.place(grid(spark, (4, 4)).withColumn("v", F.lit(1.0)), (4, 4), grid_of((2, 2)))
     g = grid_of((2, 2))
     assert M.broadcast(x, g, g) is x and M.sum_reduce(x, g, g) is x and M.broadcast_adjoint(x, g, g) is x
+
+
+def test_team_operators(spark):
+    from cellweave.operators import team as W
+
+    p = CartesianPartition((3, 5, 7, 9), (2, 2))
+    got = {r["rank"]: r for r in W.worker_grid(spark, p).collect()}
+    for k, rank in enumerate(p.ranks):
+        near = [None if n is None else p.ranks[n] for pair in p.neighbours(k) for n in pair]
+        assert (got[rank]["k0"], got[rank]["k1"]) == p.index(k) and [got[rank][c] for c in ("left0", "right0", "left1", "right1")] == near
+    lines = {}
+    for r in W.sub_grids(spark, p, (False, True)).orderBy("place").collect():
+        lines.setdefault(r["line"], []).append(r["rank"])
+    assert [tuple(v) for _, v in sorted(lines.items())] == [q.ranks for q in p.lines((False, True))]
+    v = spark.createDataFrame([(5, [1, 2]), (3, [4, 8])], "rank long, data array<long>")
+    assert {r["rank"]: r["gathered"] for r in W.all_gather(v).collect()} == {3: [[4, 8], [1, 2]], 5: [[4, 8], [1, 2]]}
+    assert {op: [r["v"] for r in W.all_reduce_vectors(v, op).orderBy("position").collect()] for op in ("sum", "prod", "min", "max")} == {"sum": [5, 10], "prod": [4, 16], "min": [1, 2], "max": [4, 8]}
+    assert {r["rank"]: r["data"] for r in W.broadcast_vector(v, 3, (3, 8)).collect()} == {3: [4, 8], 8: [4, 8]}
+    for bad in (lambda: W.broadcast_vector(v, 3, (5,)), lambda: W.all_reduce_vectors(v, "mean"), lambda: W.sub_grids(spark, p, (True,))):
+        with pytest.raises(ValueError):
+            bad()
