@@ -137,14 +137,19 @@ def context_vectors(texts: list[str]) -> tuple[dict[bytes, int], np.ndarray]:
     chosen = sorted((w for w, c in seen.items() if c >= 3), key=lambda w: (-seen[w], w))[:VOCABULARY]
     words = {w: k + 1 for k, w in enumerate(chosen)}
     index = np.stack([np.zeros(WIDTH, np.float32), *(index_vector(b"word " + w) for w in chosen)])
-    vectors = np.zeros_like(index)
-    for s in split:
-        ids = np.array([words.get(w, 0) for w in s], np.int64)
+    # An index vector as its eight places and signs, so that a neighbour adds eight numbers; texts are kept apart by word 0.
+    place = np.argsort(index == 0, axis=1, kind="stable")[:, :8]
+    sign = np.take_along_axis(index, place, 1)
+    ids = np.array([n for s in split for n in (*(words.get(w, 0) for w in s), *[0] * NEAR)], np.int64)
+    vectors = np.zeros(index.size)
+    for at in range(0, len(ids), 1 << 17):
+        part = ids[at : at + (1 << 17) + NEAR]
         for d in range(1, NEAR + 1):
-            a, b = ids[:-d], ids[d:]
-            np.add.at(vectors, a, index[b])
-            np.add.at(vectors, b, index[a])
-    vectors[0] = 0
+            left, right = part[:-d][: 1 << 17], part[d:][: 1 << 17]
+            for a, b in ((left, right), (right, left)):
+                both = (a > 0) & (b > 0)
+                vectors += np.bincount((a[both, None] * WIDTH + place[b[both]]).ravel(), sign[b[both]].ravel(), index.size)
+    vectors = vectors.reshape(index.shape).astype(np.float32)
     return words, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
 
 
@@ -214,7 +219,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
 
 
-def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def filter_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is at least the threshold, with the columns that they came with."""
     ship_package(docs.sparkSession)
     at = docs.columns.index("text")

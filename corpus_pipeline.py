@@ -14,7 +14,7 @@ from cellweave.llm.runtime import materialise, read
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject: those it predicts as good, at its own threshold."""
     model = quality_classifier.learn(docs, read(spark, sf_dir, "labels"))
     return quality_classifier.filter_documents(docs, model)
 

@@ -9,7 +9,7 @@ def test_stages(spark, sf):
     docs = read(spark, sf, "documents")
     labels = read(spark, sf, "labels")
     columns, kept = docs.columns, docs
-    good = {r["doc_id"] for r in quality_classifier.classify(docs, quality_classifier.learn(docs, labels)).collect() if r["score"] >= 0.5}
+    good = {r["doc_id"] for r in quality_classifier.classify(docs, quality_classifier.learn(docs, labels)).collect() if r["predicted"] == 1}
     kept = corpus_pipeline.classified(spark, docs, sf)
     assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == good and 0 < len(good) < docs.count()
     passed = {r["doc_id"] for r in quality_rules.apply_rules(kept, quality_rules.learn(docs, labels)).collect() if r["kept"]}
