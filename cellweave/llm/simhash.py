@@ -241,7 +241,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     stay = link(docs).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
     stay = materialise(stay, "stay")
-    single, several = stay.where("_n = 1"), stay.where("_n > 1")
+    # The ids that stay grow with the corpus, so they are never broadcast; both joins read one exchange of the documents.
+    single, several = stay.where("_n = 1").hint("merge"), stay.where("_n > 1").hint("merge")
     once = docs.join(single, docs["doc_id"] == single["_id"], "left_semi")
     again = docs.join(several, docs["doc_id"] == several["_id"], "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
