@@ -163,3 +163,40 @@ def test_losses(spark, kind):
             S.loss(both, kind, "batchmean")
     with pytest.raises(ValueError):
         S.loss(both, kind, "median")
+
+
+def test_tensors_to_files_and_back(spark, sf, tmp_path):
+    x = T.embeddings(spark, sf)
+    T.write_tensor(x, str(tmp_path / "x"))
+    back = T.read_tensor(spark, str(tmp_path / "x"))
+    assert back.dtypes == x.dtypes and back.exceptAll(x).count() == 0 and back.count() == x.count()
+    rows = T.to_arrays(back).count()
+    assert rows == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert T.events_grid(spark, sf).count() == 3600 and T.hourly(spark, sf).count() == 720 and T.volume(spark, sf).count() == 3600
+
+
+@pytest.mark.parametrize("case", ["broadcast", "sum_reduce", "halo"])
+def test_partition_invariance_and_adjoints(spark, case):
+    """<F x, y> = <x, F* y> on random cells, for the movers whose adjoint changes the number of cells."""
+    from cellweave.operators import move as M
+    from cellweave.plans.geometry import windows
+    from cellweave.plans.partition import grid_of
+
+    rng = np.random.default_rng(7)
+    if case == "halo":
+        wins, p = windows((1, 1, 10, 7), 3), grid_of((1, 1, 3, 3))
+        x = brute.cells(spark, rng.normal(size=(1, 1, 10, 7)))
+        names, f = ["rank", "i0", "i1", "i2", "i3"], M.halo_exchange(x, wins, p).drop("ghost")
+        back = lambda y: M.halo_exchange_adjoint(y, wins, p).drop("rank")
+        x_names = names[1:]
+    else:
+        a, b = (grid_of((2, 2, 1)), grid_of((3, 2, 2))) if case == "broadcast" else (grid_of((2, 2, 3)), grid_of((2, 2, 1)))
+        x = brute.cells(spark, rng.normal(size=(a.size, 7, 5))).toDF("rank", "l0", "l1", "v")
+        kw = {"transpose_src": True} if case == "broadcast" else {}
+        forward, adjoint = (M.broadcast, M.broadcast_adjoint) if case == "broadcast" else (M.sum_reduce, M.sum_reduce_adjoint)
+        names = x_names = ["rank", "l0", "l1"]
+        f, back = forward(x, a, b, **kw), lambda y: adjoint(y, a, b, **kw)
+    f = f.cache()
+    y = f.select(*names, (F.xxhash64(*names) / 1e18).alias("v")).cache()
+    dot = lambda p, q, on: p.join(q.withColumnRenamed("v", "w"), on).agg(F.sum(F.col("v") * F.col("w"))).first()[0]
+    assert np.isclose(dot(f, y, names), dot(x, back(y), x_names))
