@@ -227,9 +227,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     distinct = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
     edges = edges_of(distinct, tuple_size(distinct.count()))
     roots = components(edges)
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    # Fingerprints alone and unlinked need no second look-up; the others are few beside the documents.
+    labelled = materialise(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "labelled")
+    # Both sides are written first: a join of two plain exchanges is one whose large keys Spark can split, so a huge component is no hot task.
+    least = materialise(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     named = labelled.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
