@@ -32,7 +32,7 @@ _LOWER = bytes(b + 32 if 65 <= b < 91 else 32 if b < 65 or 91 <= b < 97 or 123 <
 
 
 def has_letter(text: str) -> bool:
-    return _LETTER.search(text) is not None
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))  # word characters hold fractions and powers too
 
 
 def trigrams(text: str) -> np.ndarray:

@@ -40,7 +40,8 @@ KEEP_CHARS = 200
 
 #: Fixed: how this family of tokenizers cuts a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WS = "\t-\r \x85\xa0  -     　"
+#: White space in Unicode, as a part of a character class.
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the one space or line feed before it; white space up to its last character; other white space.
 _CHUNKS = re.compile(f"[ \n]?[^{_WS}]+|[{_WS}]+(?=[{_WS}][^{_WS}])|[{_WS}]+").findall
 

@@ -113,6 +113,10 @@ def test_codewords_differ():
         assert apart >= (2 ** (k - 2) if k <= 6 else 3), k
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in ("a", "12 é", "漢", "", "12_", "² ½ ٣", "!?")] == [True, True, True, False, False, False, False]
+
+
 def test_languages_of_odd_rows(odd, none, spark):
     empty = langid.learn(odd)
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
