@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.index import start_column
 from cellweave.plans.partition import CartesianPartition
-from cellweave.schema import index_columns
+from cellweave.schema import fill, index_columns
 
-DAYS, HOURS = 30, 24
+TYPES, DAYS, HOURS = 5, 30, 24
 FIRST_DAY = "2024-01-01"
 
 
@@ -33,10 +33,10 @@ def events_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.lit(FIRST_DAY).cast("date")).cast("long")
     binned = events.groupBy("event_type", day.alias("i2"), F.hour("ts").cast("long").alias("i3")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("n"))
     kinds = events.agg(F.array_sort(F.collect_set("event_type")).alias("k")).select(F.posexplode("k").alias("c", "event_type"))
-    axis = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    full = kinds.select(F.col("c").cast("long").alias("i1"), "event_type").withColumn("i2", axis(DAYS)).withColumn("i3", axis(HOURS))
-    both = full.join(binned, ["event_type", "i2", "i3"], "left")
-    return both.select(F.lit(0).cast("long").alias("i0"), "i1", "i2", "i3", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("v"))
+    cells = binned.join(F.broadcast(kinds), "event_type").select(F.col("c").cast("long").alias("i1"), "i2", "i3", F.col("n").cast("double").alias("v"))
+    # The full grid comes from a range, so it is spread over the cores from the start.
+    full = fill(cells, (TYPES, DAYS, HOURS), ["i1", "i2", "i3"])
+    return full.select(F.lit(0).cast("long").alias("i0"), "i1", "i2", "i3", "v")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
