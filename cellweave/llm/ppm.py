@@ -31,13 +31,15 @@ from cellweave.llm.runtime import crc_mod, materialise, read, remove, ship_packa
 
 DEPTH = 5
 #: Contexts kept of each length above two, the most frequent ones.
-NODES = {3: 1 << 15, 4: 1 << 15, 5: 1 << 15}
+NODES = {3: 1 << 14, 4: 1 << 14, 5: 1 << 15}
 #: Distinct words of a part that a worker holds before it sends them on.
 PART_WORDS = 400_000
 #: Stored bytes of a part.
 PART_BYTES = 32 << 20
 #: Stored bytes that one task counts grams in.
 GRAM_BYTES = 64 << 20
+#: Distinct grams that a worker holds before it sends them on.
+HELD_GRAMS = 2_000_000
 #: No word: words are UTF-8.
 END = b"\xff"
 PAD = bytes(DEPTH)
@@ -102,7 +104,8 @@ class Trie:
         self.slot[two] = np.arange(len(two))
         self.child = []
         for k, v in enumerate(self.levels[1:], 1):
-            table = np.full((len(self.levels[k - 1]["context"]) + 1, 256), -1, np.int32)
+            kind = np.int16 if len(v["context"]) <= 1 << 15 else np.int32
+            table = np.full((len(self.levels[k - 1]["context"]) + 1, 256), -1, kind)
             table[v["parent"], v["context"] >> 8 * (k + 1)] = np.arange(len(v["context"]))
             self.child.append(table)
         self.bases = [v["base"] for v in self.levels[1:]]
@@ -158,7 +161,7 @@ class Trie:
             row, node = self.second[pair], self.slot[pair]
             for k, (table, base) in enumerate(zip(self.child, self.bases, strict=True), 3):
                 node = table[node, back(k)]
-                row = np.where(node < 0, row, node + base)
+                row = np.where(node < 0, row, node.astype(np.int32) + base)
             out[at:end] = self.log[row, x[DEPTH:]]
         for k in range(DEPTH):
             out[starts + k] = 0
@@ -212,11 +215,11 @@ def gather_grams(parts: DataFrame, tasks: int) -> DataFrame:
             for at in range(0, len(codes), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + (1 << 18)].view(np.int64)), pa.array(counts[at : at + (1 << 18)])], names=["h", "n"])
 
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 1 << 20):
             held.append(np.unique(grams([t.encode().lower() for t in texts_of(batch.column(0))]), return_counts=True))
-            if sum(len(c) for c, _ in held) > 4_000_000:
+            if sum(len(c) for c, _ in held) > HELD_GRAMS:
                 held[:] = [merged()]
-                if len(held[0][0]) > 3_000_000:
+                if len(held[0][0]) > HELD_GRAMS * 3 // 4:
                     yield from rows(*held.pop())
         if held:
             yield from rows(*merged())
@@ -269,7 +272,7 @@ def summed(words: DataFrame) -> DataFrame:
             held.append((p, h, g, c))
             size += len(p)
             n_sum, v_count = n_sum + int(c[first].sum()), v_count + int((c[first] > 0).sum())
-            if size > 1_000_000:
+            if size > 500_000:
                 yield from packed()
                 held, size = [], 0
         if held:
@@ -310,7 +313,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         trie = cached(shared)
         part, pieces, h, g, c, table = -1, [], None, None, None, {}
         logs, known = np.zeros(0), np.zeros(0, bool)
-        for batch in slices(batches, 3):
+        for batch in slices(batches, 3, 2 << 20):
             p_all, at_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((np.diff(p_all) != 0) | (np.diff(at_all) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(p_all)], strict=True):
