@@ -31,7 +31,7 @@ from cellweave.llm.runtime import crc_mod, materialise, read, remove, ship_packa
 
 DEPTH = 5
 #: Contexts kept of each length above two, the most frequent ones.
-NODES = {3: 1 << 14, 4: 1 << 14, 5: 1 << 15}
+NODES = {3: 1 << 13, 4: 1 << 14, 5: 1 << 14}
 #: Distinct words of a part that a worker holds before it sends them on.
 PART_WORDS = 400_000
 #: Stored bytes of a part.
@@ -39,7 +39,7 @@ PART_BYTES = 32 << 20
 #: Stored bytes that one task counts grams in.
 GRAM_BYTES = 64 << 20
 #: Distinct grams that a worker holds before it sends them on.
-HELD_GRAMS = 2_000_000
+HELD_GRAMS = 1_000_000
 #: No word: words are UTF-8.
 END = b"\xff"
 PAD = bytes(DEPTH)
@@ -152,8 +152,8 @@ class Trie:
         a = np.frombuffer(b"".join(PAD + t for t in texts), np.uint8)
         starts = np.cumsum([0, *(len(t) + DEPTH for t in texts)])[:-1]
         out = np.zeros(len(a))
-        for at in range(DEPTH, len(a), 1 << 19):
-            end = min(len(a), at + (1 << 19))
+        for at in range(DEPTH, len(a), 1 << 18):
+            end = min(len(a), at + (1 << 18))
             x = a[at - DEPTH : end].astype(np.int32)
             n = end - at
             back = lambda k: x[DEPTH - k : DEPTH - k + n]  # noqa: B023, E731
@@ -174,6 +174,7 @@ def gather_words(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, words = -1, {}
+        _TRIES.clear()  # an earlier model's table makes room
 
         def flush():
             nonlocal words
@@ -206,6 +207,7 @@ def gather_grams(parts: DataFrame, tasks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        _TRIES.clear()  # an earlier model's table makes room
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
@@ -311,16 +313,14 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = cached(shared)
-        part, pieces, h, g, c, table = -1, [], None, None, None, {}
-        logs, known = np.zeros(0), np.zeros(0, bool)
-        for batch in slices(batches, 3, 2 << 20):
+        part, pieces, h, g, c = -1, [], None, None, None
+        for batch in slices(batches, 3, 1 << 20):
             p_all, at_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((np.diff(p_all) != 0) | (np.diff(at_all) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(p_all)], strict=True):
                 one = batch.slice(lo, hi - lo)
                 if p_all[lo] != part:
-                    part, pieces, h, table = int(p_all[lo]), [], None, {}
-                    logs, known = np.zeros(0), np.zeros(0, bool)
+                    part, pieces, h = int(p_all[lo]), [], None
                 if at_all[lo] == 0:
                     pieces.append([np.frombuffer(b"".join(one.column(k).to_pylist()), t) for k, t in ((4, "<i8"), (5, "<i4"), (6, "<i8"))])
                     continue
@@ -332,21 +332,17 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 low = [t.encode().lower() for t in texts_of(one.column(3))]
                 split_up = [[*t.split(), END] for t in low]
                 flat = [w for s in split_up for w in s]
-                ids = list(map(table.get, flat))
-                if None in ids:
-                    fresh = list({w for w, k in zip(flat, ids, strict=True) if k is None})
-                    fh, fg = word_hash(fresh)
-                    k = np.searchsorted(h, fh, "left")
-                    while (miss := (h[k] == fh) & (g[k] != fg)).any():
-                        k = k + miss
-                    if not ((h[k] == fh) & (g[k] == fg)).all():
-                        raise RuntimeError("a part lacks one of its own words")
-                    table.update(zip(fresh, range(len(logs), len(logs) + len(fresh)), strict=True))
-                    logs = np.concatenate([logs, np.log10(c[k] + 1.0) - unit])
-                    known = np.concatenate([known, c[k] > 0])
-                    ids = list(map(table.get, flat))
+                # The words of this slice alone: a table of all of a part's words would take more memory than all else here.
+                table = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+                fh, fg = word_hash(list(table))
+                k = np.searchsorted(h, fh, "left")
+                while (miss := (h[k] == fh) & (g[k] != fg)).any():
+                    k = k + miss
+                if not ((h[k] == fh) & (g[k] == fg)).all():
+                    raise RuntimeError("a part lacks one of its own words")
+                logs, known = np.log10(c[k] + 1.0) - unit, c[k] > 0
                 n = np.array([len(s) for s in split_up], np.int64)
-                at = np.array(ids, np.int64)
+                at = np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))
                 starts = np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
                     [one.column(2), pa.array(n), pa.array(np.add.reduceat(known[at].astype(np.int64), starts)), pa.array(np.full(len(n), n_all)), pa.array(np.add.reduceat(logs[at], starts)), pa.array(trie.score(low))], names=names
