@@ -183,7 +183,7 @@ def test_scores_on_odd_rows(odd, none):
 
 
 def test_scores_of_documents(spark, sf):
-    docs = read(spark, sf, "documents").where("doc_id < 30")  # so few that the trie keeps all contexts
+    docs = read(spark, sf, "documents").where("doc_id < 5")  # so few that the trie keeps all contexts
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got, train = check_scores(docs, rows)
     short = sorted(rows, key=lambda r: len(r[1] or ""))[:20]
