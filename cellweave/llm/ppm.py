@@ -1,17 +1,18 @@
 """Language-model scoring by prediction by partial matching, beside a word-count baseline over the whole training part.
 
-The model is a trie of byte contexts, up to three bytes deep, with the counts of all training texts.  An unseen byte escapes to the
+The model is a trie of byte contexts, up to `depth` bytes deep, with the counts of all training texts.  An unseen byte escapes to the
 shorter context with probability q/(T+q) (q: different bytes seen, T: all), and bytes that the longer context has seen are excluded
-there.  A context's bytes are among those of any suffix of it, so what is excluded at a level depends on one node only; the
-probability of every byte after every node is then a fixed table, and a text is scored by gathering from it.  Scores are log10 of the
-probability of the lower-cased text's bytes; each text starts with three zero bytes as context.
+there.  Scores are log10 of the probability of the lower-cased text's bytes; each text starts with zero bytes as context.
 
-Counts come from all training rows.  The trie keeps at most NODES contexts of three bytes, the most frequent ones (a bound on the
-model, not on the data); its shorter contexts are complete.
+Counts come from all training rows and every context seen is kept.  A context's bytes are among those of any suffix of it, so what is
+excluded at a level depends on one context only.  Each part sends its distinct grams (context and byte) with their training counts;
+they are dealt by the context's last three bytes, so that all contexts of three bytes and more that share counts meet, and each part
+gets the probabilities of its own grams back.  Only the counts after contexts of up to two bytes go to every worker (2^24 at most by
+their nature, as they are seen).
 
 Word counts: rows are dealt into parts of the input's own partitions.  Each part sends its distinct words with their counts; these are summed by
 word, and each part gets its words' sums back and scores its texts, so (text, word) pairs are never shuffled and no vocabulary is
-broadcast.  Words travel as 96-bit hashes.
+broadcast.  Words travel as 96-bit hashes, and go back packed.
 
 Null texts are empty (one token, the end).  Rows with equal ids are scored each.  Without training rows N and V are zero.
 """
@@ -27,13 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import crc_mod, materialise, read, ship_package, slices, texts_of
+from cellweave.llm.runtime import crc_mod, materialise, read, remove, ship_package, slices, texts_of
 
-NODES = 1 << 15
+#: Bytes of the longest context that the query learns.
+DEPTH = 4
 #: Distinct words of a part that a worker holds before it sends them on.
 PART_WORDS = 400_000
 #: Stored bytes of a part.
 PART_BYTES = 32 << 20
+#: Distinct grams of a part that a worker holds before it sends them on.
+PART_GRAMS = 2_000_000
 #: No word: words are UTF-8.
 END = b"\xff"
 PAD = b"\0\0\0"
@@ -46,18 +50,65 @@ def word_hash(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, g
 
 
-def grams(texts: list[bytes]) -> np.ndarray:
-    """Every byte of the texts with the three before it, as one number each."""
-    a = np.frombuffer(b"".join(PAD + t for t in texts), np.uint8).astype(np.uint32)
-    code = a[:-3] << 24 | a[1:-2] << 16 | a[2:-1] << 8 | a[3:]
-    ends = np.cumsum([len(t) + 3 for t in texts])[:-1]
+def grams(texts: list[bytes], depth: int = 3) -> np.ndarray:
+    """Every byte of the texts with the `depth` bytes before it (at most seven), as one number each."""
+    a = np.frombuffer(b"".join(bytes(depth) + t for t in texts), np.uint8)
+    code = np.zeros(max(len(a) - depth, 0), np.uint32 if depth < 4 else np.int64)
+    for k in range(depth + 1):
+        code <<= 8
+        code |= a[k : k + len(code)]
+    ends = np.cumsum([len(t) + depth for t in texts])[:-1]
     keep = np.ones(len(code), bool)
-    keep[(ends[:, None] + np.arange(-3, 0)).ravel()] = False  # windows that end in the next text's padding
+    keep[(ends[:, None] + np.arange(-depth, 0)).ravel()] = False  # windows that end in the next text's padding
     return code[keep]
 
 
+class Short:
+    """Counts after contexts of up to two bytes, and the probabilities of grams that follow from these and the grams' own counts."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        """code: two context bytes and a byte, in order and all that training texts have; n: how often."""
+        self.code, self.n = np.asarray(code, np.int64), np.asarray(n, float)
+        self.n1 = np.bincount(self.code & 0xFFFF, self.n, 65536)
+        one = self.n1.reshape(256, 256)
+        self.n0 = one.sum(0)
+        # Of each context: all counts, different bytes, and how often these bytes follow the next shorter context.
+        self.of0 = self.n0.sum(), (self.n0 > 0).sum()
+        self.of1 = one.sum(1), (one > 0).sum(1), np.where(one > 0, self.n0, 0).sum(1)
+        two = self.code >> 8
+        self.of2 = np.bincount(two, self.n, 65536), np.bincount(two, minlength=65536), np.bincount(two, self.n1[self.code & 0xFFFF], 65536)
+
+    @staticmethod
+    def step(n, t, q, s, n_up, t_up, q_up, back_up) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of a byte after a context, and after an escape from it, from counts of both it and the next shorter context."""
+        rest, fresh = t_up - s, np.where(q_up < 256, q_up - q, 0)
+        back = np.where(rest > 0, np.where(n_up > 0, n_up, fresh * back_up) / np.maximum(rest + fresh, 1e-300), back_up)
+        p = np.where(t > 0, np.where(n > 0, n, q * back) / np.maximum(t + np.where(q < 256, q, 0), 1e-300), back)
+        return p, back
+
+    def log(self, code: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
+        """log10 probability of each gram's byte.  code: different grams, all with the same last three context bytes as one of them; n: training counts."""
+        byte, c1, c2 = code & 255, code & 0xFFFF, code & 0xFFFFFF
+        x1, x2 = c1 >> 8, c2 >> 8
+        back = np.full(len(code), 1 / max(256 - self.of0[1], 1))
+        now = (self.n1[c1], *(x[x1] for x in self.of1))
+        _, back = self.step(*now, self.n0[byte], *self.of0, back)
+        at = np.minimum(np.searchsorted(self.code, c2), max(len(self.code) - 1, 0))
+        n2 = np.where(self.code[at] == c2, self.n[at], 0.0) if len(self.code) else np.zeros(len(code))
+        up, now = now, (n2, *(x[x2] for x in self.of2))
+        p, back = self.step(*now, *up[:3], back)
+        for k in range(3, depth + 1):
+            own, first, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_index=True, return_inverse=True)
+            m = np.bincount(at, n, len(own))
+            context = np.unique(own >> 8, return_inverse=True)[1]
+            of = np.bincount(context, m), np.bincount(context, m > 0), np.bincount(context, np.where(m > 0, now[0][first], 0.0))
+            up, now = now, (m[at], *(x[context[at]] for x in of))
+            p, back = self.step(*now, *up[:3], back)
+        return np.log10(p)
+
+
 class Trie:
-    """log10 probability of each byte after each kept context."""
+    """The same model with contexts of three bytes as one dense table of log10 probabilities, for few contexts."""
 
     def __init__(self, third: tuple[np.ndarray, np.ndarray], fourth: tuple[np.ndarray, np.ndarray]):
         """third: (code of two context bytes and a byte, count), all of them; fourth: the same with three context bytes, of kept contexts."""
@@ -124,8 +175,8 @@ class Trie:
         return np.add.reduceat(out, starts) if len(texts) else out
 
 
-def gather(parts: DataFrame) -> DataFrame:
-    """(kind, part, h, g, n): kind 0, the distinct words of a part and their training counts; kind 1, counts of byte grams (in h)."""
+def gather(parts: DataFrame, depth: int) -> DataFrame:
+    """(kind, part, h, g, n): training counts of a part's distinct words (kind 0) and of its distinct byte grams (kind 1, in h)."""
     names = ["kind", "part", "h", "g", "n"]
 
     def rows(kind: int, part: int, h: np.ndarray, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -133,7 +184,7 @@ def gather(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, words = -1, {}
-        codes, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             nonlocal words
@@ -143,53 +194,133 @@ def gather(parts: DataFrame) -> DataFrame:
                 yield rows(0, part, h, g, np.fromiter(words.values(), np.int64, len(keys)))
                 words = {}
 
+        def merge():
+            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            held[:] = [(codes, np.bincount(at, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64))]
+
         def flush_grams():
-            nonlocal codes, counts
-            if len(codes):
-                yield rows(1, -1, codes.astype(np.int64), np.zeros(len(codes), np.int32), counts)
-                codes, counts = codes[:0], counts[:0]
-
-        for batch in slices(batches, 1):
-            train = []
-            for t, p, learn in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if p != part or len(words) > PART_WORDS:
+            if held:
+                merge()
+                codes, n = held.pop()
+                yield rows(1, part, codes.astype(np.int64), np.zeros(len(codes), np.int32), n)
+
+        for batch in slices(batches, 1, 1 << 20):
+            p_all = batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.diff(p_all)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(p_all)], strict=True):
+                one = batch.slice(lo, hi - lo)
+                if p_all[lo] != part or len(words) > PART_WORDS:
                     yield from flush()
-                    part = p
-                low = t.encode().lower()
-                if learn:
-                    train.append(low)
-                    words[END] = words.get(END, 0) + 1
-                    for w in low.split():
-                        words[w] = words.get(w, 0) + 1
-                else:
-                    words.setdefault(END, 0)
-                    for w in low.split():
-                        words.setdefault(w, 0)
-            if train:
-                one, n = np.unique(grams(train), return_counts=True)
-                codes, at = np.unique(np.concatenate([codes, one]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-                if len(codes) > 2_000_000:
+                if p_all[lo] != part:
                     yield from flush_grams()
+                    part = int(p_all[lo])
+                sides: tuple[list[bytes], list[bytes]] = ([], [])
+                for t, learn in zip(texts_of(one.column(1)), one.column(3).to_pylist(), strict=True):
+                    low = t.encode().lower()
+                    sides[bool(learn)].append(low)
+                    if learn:
+                        words[END] = words.get(END, 0) + 1
+                        for w in low.split():
+                            words[w] = words.get(w, 0) + 1
+                    else:
+                        words.setdefault(END, 0)
+                        for w in low.split():
+                            words.setdefault(w, 0)
+                for texts, learn in zip(sides, (0, 1), strict=True):
+                    if texts:
+                        codes, n = np.unique(grams(texts, depth), return_counts=True)
+                        held.append((codes, n * learn))
+                if sum(len(c) for c, _ in held) > PART_GRAMS:
+                    merge()
+                    if len(held[0][0]) > PART_GRAMS * 3 // 4:
+                        yield from flush_grams()
         yield from flush()
         yield from flush_grams()
 
     return parts.select("doc_id", "text", "part", "train").mapInArrow(run, "kind int, part long, h long, g int, n long")
 
 
-def fit(counts: DataFrame, nodes: int = NODES) -> tuple:
-    """What Trie takes, from (h, n) rows of byte grams.  At most 2^24 and 256 * nodes rows come to the driver."""
-    total = materialise(counts.groupBy("h").agg(F.sum("n").alias("n")), "grams")
-    third = total.groupBy(F.col("h").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("h")).agg(F.sum("n").alias("n"))
-    context = F.shiftright("h", 8)
-    top = total.groupBy(context.alias("c")).agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "c").limit(nodes)
-    fourth = total.join(F.broadcast(top), context == F.col("c")).select("h", "n")
-    pairs = lambda df: tuple(df.toPandas().sort_values("h")[c].to_numpy() for c in ("h", "n"))
-    return pairs(third), pairs(fourth)
+def fit(counts: DataFrame) -> Short:
+    """From (h, n) rows of grams: counts after all contexts of up to two bytes.  At most 2^24 rows come to the driver."""
+    third = counts.where("n > 0").groupBy(F.col("h").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("h")).agg(F.sum("n").alias("n")).toPandas().sort_values("h")
+    return Short(third["h"].to_numpy(np.int64), third["n"].to_numpy(np.int64))
+
 
+def dealt(p: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The parts in p, and of each column the bytes of each part's values."""
+    order = np.argsort(p, kind="stable")
+    p = p[order]
+    cuts = [0, *(np.flatnonzero(np.diff(p)) + 1), len(p)]
+    return p[cuts[:-1]], [[x[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in columns]
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) per row; train: a Column that is true for the rows to learn from."""
+
+def assessed(counts: DataFrame, short: Short, depth: int) -> DataFrame:
+    """(part, h, g): the grams of each part and their log10 probabilities, packed.  counts: (part, h, n), a gram in a part once or more."""
+    shared = counts.sparkSession.sparkContext.broadcast(short)
+    rows = counts.select("part", "h", "n", F.shiftright("h", 8).bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("last"))
+    rows = rows.repartition("last").sortWithinPartitions("last")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def whole(part: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            own, at = np.unique(code, return_inverse=True)
+            log = shared.value.log(own, np.bincount(at, n, len(own)), depth).astype("<f4")
+            parts, (h, g) = dealt(part, code, log[at])
+            return pa.RecordBatch.from_arrays([pa.array(parts), pa.array(h, pa.binary()), pa.array(g, pa.binary())], names=["part", "h", "g"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+            size += batch.num_rows
+            if size > 500_000:
+                part, code, n, last = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(last, last[-1], "left"))
+                if cut:
+                    yield whole(part[:cut], code[:cut], n[:cut])
+                held = [(part[cut:], code[cut:], n[cut:], last[cut:])]
+                size = 0
+        if held:
+            part, code, n, _ = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(part):
+                yield whole(part, code, n)
+
+    return rows.mapInArrow(run, "part long, h binary, g binary")
+
+
+def summed(words: DataFrame) -> DataFrame:
+    """(part, h, g, c, n_sum, v_count): the sums of all words by word, packed per part; rows of part -1 hold totals of N and V."""
+    same = Window.partitionBy("h", "g")
+    counted = words.select("part", "h", "g", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("part")) == 1).alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, n_sum, v_count = [], 0, 0, 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            p, blobs = dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield rows(p, *blobs, 0, 0)
+
+        def rows(p, h, g, c, n, v):
+            many = np.zeros(len(p), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(p), *(pa.array(x, pa.binary()) for x in (h, g, c)), pa.array(many + n), pa.array(many + v)], names=["part", "h", "g", "c", "n_sum", "v_count"])
+
+        for batch in batches:
+            p, h, g, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            held.append((p, h, g, c))
+            size += len(p)
+            n_sum, v_count = n_sum + int(c[first].sum()), v_count + int((c[first] > 0).sum())
+            if size > 500_000:
+                yield from packed()
+                held, size = [], 0
+        if held:
+            yield from packed()
+        yield rows(np.array([-1]), [b""], [b""], [b""], n_sum, v_count)
+
+    return counted.mapInArrow(run, "part long, h binary, g binary, c binary, n_sum long, v_count long")
+
+
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = 3) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) per row; train: a Column that is true for the rows to learn from, depth: bytes of the longest context."""
     spark = docs.sparkSession
     ship_package(spark)
     per = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
@@ -198,78 +329,78 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     part = F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64(id_col), F.lit(split))
     # Written, so that a row's part stays the same whatever is computed again.
     parts = materialise(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), part.alias("part"), train.alias("train")), "parts")
-    gathered = materialise(gather(parts), "gathered")
-    words = gathered.where("kind = 0").groupBy("h", "g", "part").agg(F.sum("n").alias("n"))
-    same = Window.partitionBy("h", "g")
-    back = materialise(words.select("part", "h", "g", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("part")) == 1).alias("first")), "words")
-    totals = back.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n_parts = int(parts.agg(F.coalesce(F.max("part") + 1, F.lit(1))).first()[0])
+    gathered = materialise(gather(parts, depth), "gathered")
+    # Dealt by word once: a part's words may come in several rows, where a worker had too many to hold.
+    words = gathered.where("kind = 0").repartition("h", "g").groupBy("h", "g", "part").agg(F.sum("n").alias("n"))
+    back = materialise(summed(words), "sums")
+    totals = back.where("part = -1").agg(F.coalesce(F.sum("n_sum"), F.lit(0)).alias("n"), F.coalesce(F.sum("v_count"), F.lit(0)).alias("v")).first()
     n_all, v_all = int(totals["n"]), int(totals["v"])
-    shared = spark.sparkContext.broadcast(fit(gathered.where("kind = 1").select("h", "n")))
+    counts = gathered.where("kind = 1").select("part", "h", "n")
+    logs_of = materialise(assessed(counts, fit(counts), depth), "grams")
+    remove(spark, gathered.scratch)
     none = lambda t: F.lit(None).cast(t)
-    rows = back.select("part", F.lit(0).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", "c").unionByName(
-        parts.select("part", F.lit(1).alias("at"), "doc_id", "text", none("long").alias("h"), none("int").alias("g"), none("long").alias("c"))
+    rows = back.where("part >= 0").select("part", F.lit(0).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", "c")
+    rows = rows.unionByName(logs_of.select("part", F.lit(1).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", none("binary").alias("c")))
+    rows = rows.unionByName(
+        parts.select("part", F.lit(2).alias("at"), "doc_id", "text", *(none("binary").alias(c) for c in "hgc"))
     )
-    rows = rows.repartition("part").sortWithinPartitions("part", "at")
+    # One task for each part; parts are of like size, whatever the keys of their rows.
+    rows = rows.repartitionById(n_parts, F.col("part").cast("int")).sortWithinPartitions("part", "at")
     names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     unit = math.log10(n_all + v_all + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = cached(shared)
-        part, pieces, h, g, c, table = -1, [], None, None, None, {}
-        logs, known = np.zeros(0), np.zeros(0, bool)
-        for batch in slices(batches, 3):
+        part, pieces, h, g, c = -1, ([], []), None, None, None
+        for batch in slices(batches, 3, 1 << 20):
             p_all, at_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((np.diff(p_all) != 0) | (np.diff(at_all) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(p_all)], strict=True):
                 one = batch.slice(lo, hi - lo)
                 if p_all[lo] != part:
-                    part, pieces, h, table = int(p_all[lo]), [], None, {}
-                    logs, known = np.zeros(0), np.zeros(0, bool)
-                if at_all[lo] == 0:
-                    pieces.append([one.column(k).to_numpy() for k in (4, 5, 6)])
+                    part, pieces, h = int(p_all[lo]), ([], []), None
+                if at_all[lo] < 2:
+                    kinds = ((4, "<i8"), (5, "<i4"), (6, "<i8")) if at_all[lo] == 0 else ((4, "<i8"), (5, "<f4"))
+                    pieces[at_all[lo]].append([np.frombuffer(b"".join(one.column(k).to_pylist()), t) for k, t in kinds])
                     continue
                 if h is None:
-                    h, g, c = (np.concatenate(x) for x in zip(*pieces, strict=True))
+                    h, g, c = (np.concatenate(x) for x in zip(*pieces[0], strict=True))
                     order = np.lexsort((g, h))
                     h, g, c = h[order], g[order], c[order]
-                    pieces = []
+                    codes, logs_at = (np.concatenate(x) for x in zip(*pieces[1], strict=True)) if pieces[1] else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+                    order = np.argsort(codes, kind="stable")
+                    codes, logs_at = codes[order], logs_at[order]
+                    pieces = ([], [])
                 low = [t.encode().lower() for t in texts_of(one.column(3))]
                 split_up = [[*t.split(), END] for t in low]
-                fresh = [w for w in dict.fromkeys(w for s in split_up for w in s) if w not in table]
-                if fresh:
-                    fh, fg = word_hash(fresh)
-                    k = np.searchsorted(h, fh, "left")
-                    while (miss := (h[k] == fh) & (g[k] != fg)).any():
-                        k = k + miss
-                    if not ((h[k] == fh) & (g[k] == fg)).all():
-                        raise RuntimeError("a part lacks one of its own words")
-                    table.update(zip(fresh, range(len(logs), len(logs) + len(fresh)), strict=True))
-                    logs = np.concatenate([logs, np.log10(c[k] + 1.0) - unit])
-                    known = np.concatenate([known, c[k] > 0])
+                flat = [w for s in split_up for w in s]
+                # The words of this slice alone: a table of all of a part's words would take more memory than all else here.
+                table = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+                fh, fg = word_hash(list(table))
+                k = np.searchsorted(h, fh, "left")
+                while (miss := (h[k] == fh) & (g[k] != fg)).any():
+                    k = k + miss
+                if not ((h[k] == fh) & (g[k] == fg)).all():
+                    raise RuntimeError("a part lacks one of its own words")
+                logs, known = np.log10(c[k] + 1.0) - unit, c[k] > 0
+                seen, where = np.unique(grams(low, depth), return_inverse=True)
+                k = np.searchsorted(codes, seen)
+                if not (codes[k] == seen).all():
+                    raise RuntimeError("a part lacks one of its own grams")
+                sums = np.append(0.0, np.cumsum(logs_at[k].astype(float)[where]))
+                stops = np.cumsum([len(t) for t in low])
+                scores = sums[stops] - sums[np.append(0, stops[:-1])]
                 n = np.array([len(s) for s in split_up], np.int64)
-                ids = np.fromiter((table[w] for s in split_up for w in s), np.int64, int(n.sum()))
+                at = np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))
                 starts = np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
-                    [one.column(2), pa.array(n), pa.array(np.add.reduceat(known[ids].astype(np.int64), starts)), pa.array(np.full(len(n), n_all)), pa.array(np.add.reduceat(logs[ids], starts)), pa.array(trie.score(low))], names=names
+                    [one.column(2), pa.array(n), pa.array(np.add.reduceat(known[at].astype(np.int64), starts)), pa.array(np.full(len(n), n_all)), pa.array(np.add.reduceat(logs[at], starts)), pa.array(scores)], names=names
                 )
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-_TRIES: dict = {}
-
-
-def cached(shared) -> Trie:
-    """This worker's table, built once for each model."""
-    counts = shared.value
-    key = (shared.id if hasattr(shared, "id") else 0, len(counts[0][0]), float(counts[0][1].sum()), len(counts[1][0]))
-    if key not in _TRIES:
-        _TRIES.clear()
-        _TRIES[key] = Trie(*counts)
-    return _TRIES[key]
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = score(docs, crc_mod("doc_id", 7) != 2)
+    out = score(docs, crc_mod("doc_id", 7) != 2, depth=DEPTH)
     return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
