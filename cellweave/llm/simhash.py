@@ -248,6 +248,85 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Different shingle hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group that links of Jaccard similarity >= `similarity` over shingle sets connect, with its columns.
+
+    Rows of equal sets meet by their hash.  Of each other set its least hashes are indexed, so many that two sets of that similarity
+    share one of them: with t the similarity, n - ceil(t n) + 1 of n.  Candidates are compared by their whole sets before they are
+    linked: first each with the least row of its lists, then, within lists, all pairs that these links do not connect yet.  A
+    shingle of many unlike documents therefore costs the square of their number.
+
+    Rows are told apart by a number written with them.  Of a group that with the smallest doc_id stays (nulls last), then by the text's
+    hash and the row's number; so repeated and null ids are rows like any other.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    columns = docs.columns
+    row = "_row"
+    while row in columns:
+        row += "_"
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, sizes, least = [], [], []
+            for t in texts_of(batch.column(1)):
+                x = shingle_set(t, words)
+                keys.append(xxhash.xxh3_128_digest(x.tobytes()))
+                sizes.append(len(x))
+                least.append(x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["row", "key", "size", "least"])
+
+    marked = materialise(keyed.select(F.col(row).alias("row"), F.col("text").cast("string")).mapInArrow(mark, "row long, key binary, size long, least array<long>"), "marked")
+    sets = marked.groupBy("key").agg(F.min("row").alias("row"), F.min_by("size", "row").alias("size"), F.min_by("least", "row").alias("least"))
+    posted = sets.select("row", "size", F.explode("least").alias("posting"))
+    heads = posted.groupBy("posting").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1")
+    lists = materialise(posted.join(heads, "posting").select("posting", "row", "size", "head"), "lists")
+    some = lists.select(F.col("row").alias("_r")).distinct()
+    texts = materialise(keyed.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")).join(some, F.col("row") == F.col("_r"), "left_semi"), "candidates")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose shingle sets are similar."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, x = None, None
+            for batch in slices(batches, 2):
+                keep = []
+                for a, s, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True):
+                    if a != last:
+                        last, x = a, shingle_set(s, words)
+                    y = shingle_set(t, words)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        of = lambda c, t: texts.select(F.col("row").alias(c), F.col("text").alias(t))
+        return materialise(pairs.join(of("b", "t"), "b").join(of("a", "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "verified")
+
+    stars = verified(lists.where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
+    roots = materialise(components(stars), "roots")
+    rooted = lists.join(roots, lists["row"] == roots["node"], "left").select("posting", "row", "size", F.coalesce("root", "row").alias("root"))
+    mixed = rooted.groupBy("posting").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("posting")
+    open_ = materialise(rooted.join(mixed, "posting"), "open")
+    one = open_.select("posting", F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+    two = open_.select("posting", F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
+    rest = one.join(two, "posting").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b").distinct()
+    roots = materialise(components(stars.unionByName(verified(rest))), "roots")
+    first = sets.select("key", F.col("row").alias("first"))
+    grouped = marked.select("row", "key").join(first, "key").join(roots, F.col("first") == F.col("node"), "left").select("row", F.coalesce("root", "first").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col(row).alias("row"))
+    ranked = keyed.select(F.col(row).alias("row"), order.alias("order")).join(grouped, "row")
+    stay = materialise(ranked.groupBy("root").agg(F.min("order")["row"].alias("_stay")).select("_stay"), "stay")
+    # The rows that stay grow with the corpus, so they are never broadcast.
+    return keyed.join(stay.hint("merge"), keyed[row] == stay["_stay"], "left_semi").select(*(keyed[c] for c in columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = link(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

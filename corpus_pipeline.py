@@ -29,8 +29,8 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near duplicates: 5-word shingles, similarity 0.8 or more."""
+    return simhash.drop_similar(docs, words=5, similarity=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
