@@ -67,6 +67,7 @@ class Model:
     w2: np.ndarray
     b2: float
     temperature: float
+    rows: int = 0  # labelled rows that it was fitted on
     forms: dict[bytes, int] = field(default_factory=dict)
     form_rows: list[np.ndarray] = field(default_factory=list)
     table: dict[bytes, int] = field(default_factory=dict)
@@ -157,7 +158,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 400, rate: float = 0.01,
     """Adam over the whole sample; every fifth row is held back to choose the epoch and the temperature."""
     rng = np.random.default_rng(11)
     words, vectors = context_vectors(texts)
-    m = Model(words, vectors, np.zeros(2 * WIDTH, np.float32), np.ones(2 * WIDTH, np.float32), rng.normal(0, (2 * WIDTH) ** -0.5, (2 * WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
+    m = Model(words, vectors, np.zeros(2 * WIDTH, np.float32), np.ones(2 * WIDTH, np.float32), rng.normal(0, (2 * WIDTH) ** -0.5, (2 * WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0, len(y))
     if not len(y):
         return m
     x = np.concatenate([m.pooled(texts[k : k + 200]) for k in range(0, len(texts), 200)]).astype(float)
@@ -220,7 +221,9 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def filter_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score is at least the threshold, with the columns that they came with."""
+    """The rows whose score is at least the threshold, with the columns that they came with; all rows if the model saw no labelled row."""
+    if not model.rows:
+        return docs
     ship_package(docs.sparkSession)
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
