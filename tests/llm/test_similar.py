@@ -51,3 +51,15 @@ def test_one_of_each_group_stays(spark):
     got = simhash.drop_similar(docs)
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(min(g) for g in groups)
+
+
+def test_rows_of_repeated_and_null_ids(spark, odd, none):
+    """Rows are decided by themselves, not by their id."""
+    a, b, c = ("the quick brown fox jumps over it", "one two three four five six seven", "alpha beta gamma delta epsilon zeta")
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, b), (None, c), (None, c), (3, None), (None, "")]
+    got = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, a), (1, b), (0, c), (3, "")])
+    kept = simhash.drop_similar(odd)
+    texts = [r["text"] for r in odd.collect()]
+    assert kept.columns == odd.columns and kept.count() == len(brute_groups(texts))
+    assert simhash.drop_similar(none).count() == 0
