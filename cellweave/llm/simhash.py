@@ -257,8 +257,8 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     """One row of each group that links of Jaccard similarity >= `similarity` over shingle sets connect, with its columns.
 
     Rows of equal sets meet by their hash.  Of each other set its least hashes are indexed, so many that two sets of that similarity
-    share one of them: with t the similarity, n - ceil(t n) + 1 of n.  Candidates are compared by their whole sets before they are
-    linked: first each with the least row of its lists, then, within lists, all pairs that these links do not connect yet.  A
+    share one of them: with t the similarity, n - ceil(t n) + 1 of n.  Counts by the last eight bits of the hashes bound what two sets can
+    share; candidates that this does not rule out are compared by their whole sets before they are linked: first each with the least row of its lists, then, within lists, all pairs that these links do not connect yet.  A
     shingle of many unlike documents therefore costs the square of their number.
 
     Rows are told apart by a number written with them.  Of a group that with the smallest doc_id stays (nulls last), then by the text's
@@ -274,21 +274,25 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, sizes, least = [], [], []
+            keys, sizes, least, bins = [], [], [], []
             for t in texts_of(batch.column(1)):
                 x = shingle_set(t, words)
                 keys.append(xxhash.xxh3_128_digest(x.tobytes()))
                 sizes.append(len(x))
+                bins.append(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256).astype("<u4").tobytes())
                 least.append(x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["row", "key", "size", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["row", "key", "size", "least", "bins"])
 
-    marked = materialise(keyed.select(F.col(row).alias("row"), F.col("text").cast("string")).mapInArrow(mark, "row long, key binary, size long, least array<long>"), "marked")
+    marked = materialise(keyed.select(F.col(row).alias("row"), F.col("text").cast("string")).mapInArrow(mark, "row long, key binary, size long, least array<long>, bins binary"), "marked")
     sets = marked.groupBy("key").agg(F.min("row").alias("row"), F.min_by("size", "row").alias("size"), F.min_by("least", "row").alias("least"))
     posted = sets.select("row", "size", F.explode("least").alias("posting"))
     heads = posted.groupBy("posting").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1")
     lists = materialise(posted.join(heads, "posting").select("posting", "row", "size", "head"), "lists")
-    some = lists.select(F.col("row").alias("_r")).distinct()
-    texts = materialise(keyed.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")).join(some, F.col("row") == F.col("_r"), "left_semi"), "candidates")
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, 256).astype(np.int64) for k in (2, 3))
+            most = np.minimum(x, y).sum(1)
+            yield batch.select([0, 1]).filter(pa.array(most >= similarity * (x.sum(1) + y.sum(1) - most) - 1e-9))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose shingle sets are similar."""
@@ -305,6 +309,12 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
                     keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+        bins = lambda c, t: marked.select(F.col("row").alias(c), F.col("bins").alias(t))
+        pairs = pairs.join(bins("b", "t"), "b").join(bins("a", "s"), "a").select("a", "b", "s", "t")
+        pairs = materialise(pairs.mapInArrow(possible, "a long, b long"), "possible")
+        some = pairs.select(F.explode(F.array("a", "b")).alias("_r")).distinct()
+        texts = keyed.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+        texts = materialise(texts.join(some, F.col("row") == F.col("_r"), "left_semi"), "candidates")
         of = lambda c, t: texts.select(F.col("row").alias(c), F.col("text").alias(t))
         return materialise(pairs.join(of("b", "t"), "b").join(of("a", "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "verified")
 
@@ -313,6 +323,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     rooted = lists.join(roots, lists["row"] == roots["node"], "left").select("posting", "row", "size", F.coalesce("root", "row").alias("root"))
     mixed = rooted.groupBy("posting").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("posting")
     open_ = materialise(rooted.join(mixed, "posting"), "open")
+    remove(spark, lists.scratch)
     one = open_.select("posting", F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
     two = open_.select("posting", F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
     near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
