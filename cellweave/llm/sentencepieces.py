@@ -135,7 +135,8 @@ def decode_ids(ids: np.ndarray, model_file: str) -> str:
         text = data[at].tobytes().decode()
     except UnicodeDecodeError:
         return coder(model_file).decode(ids.tolist())
-    return text[1:] if text[:1] == " " else text
+    # The library drops the marker that opens the first piece, but not a space that is a byte piece.
+    return text[1:] if text[:1] == " " and not coder(model_file).whole.is_byte(int(ids[0])) else text
 
 
 def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
