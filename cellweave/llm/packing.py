@@ -4,7 +4,9 @@ Every document becomes ids (byte-level BPE) and an end id.  A document's full wi
 What remains is routed to the smallest context tier that holds it, and each tier packs its own queue.  A window that is
 short of tokens is filled from the longest piece that fits among the shorter tiers, and the last gap by cutting a piece
 of a shorter tier in two.  At the end of a task, what is left in the queues is joined, longest first, and cut into powers of two,
-which need no padding.  Sequences of one tier are numbered into step groups of an equal number of tokens.
+which need no padding.  Sequences of one tier go into step groups of STEP_TOKENS tokens; what each tier has left at the end of a task
+goes into groups of mixed lengths, so that all groups of a task but one hold equally many tokens.  Group numbers carry the
+partition's number as sequence ids do.
 
 Each task packs the documents of its own input partition and holds a bounded queue, so a task that is run again gives the same
 sequences, and nothing is shuffled.  Sequence ids carry the partition's number in their upper bits.
@@ -55,7 +57,8 @@ class ChunkTokenizer:
     table of distinct chunks, each tokenized once by tokenizers.
 
     The pre-tokenizer of a byte-level BPE never joins a word with what stands before its leading space, so chunks cut there
-    have the same ids alone as in the text.
+    have the same ids alone as in the text.  A text that holds a special token's text goes to tokenizers as a whole, which gives
+    that token's id there.
     """
 
     def __init__(self, path: str, ranks_path: str | None):
@@ -72,17 +75,19 @@ class ChunkTokenizer:
             self.quick = tiktoken.Encoding("quick", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.table: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32."""
+        if self.special(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.quick is not None and (text.isascii() or not _BEYOND_LATIN(text)):
             try:
                 return self.quick.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
-            except BaseException as e:  # a Rust panic on a very long run; the table below has no such limit
-                if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                    raise
+            except ValueError:  # tiktoken's limit on backtracking, met by several 100,000 blanks in a row; the table below has none
+                pass
         chunks = _CHUNKS(text)
         table = self.table
         parts = list(map(table.get, chunks))
@@ -114,7 +119,8 @@ class Packer:
         self.queues: dict[int, deque] = {t: deque() for t in tiers}
         self.waiting = 0
         self.next_id, self.first_id = first_id, first_id
-        self.counts: dict[int, int] = {}
+        self.open: dict[int, list[list[tuple]]] = {}
+        self.groups = 0
         self.rows: list[tuple] = []
 
     def add(self, doc, ids: bytes) -> None:
@@ -134,16 +140,36 @@ class Packer:
         self.waiting += 1
 
     def close(self, pieces: list[tuple], length: int) -> None:
-        """One sequence; its step group holds step_tokens tokens of this length."""
-        nth = self.counts.get(length, 0)
-        self.counts[length] = nth + 1
-        group = nth // max(1, self.step_tokens // length)
-        at = 0
+        """One sequence; it waits until step_tokens tokens of this length make a step group."""
+        at, out = 0, []
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, ids, total, self.next_id, at, length, group))
+            out.append((doc, start, n, ids, total, self.next_id, at, length))
             at += n
         self.next_id += 1
+        held = self.open.setdefault(length, [])
+        held.append(out)
+        if len(held) * length >= self.step_tokens:
+            self.step(held)
+            self.open[length] = []
+
+    def step(self, sequences: list[list[tuple]]) -> None:
+        self.rows += [(*row, self.first_id + self.groups) for rows in sequences for row in rows]
+        self.groups += 1
+
+    def finish(self) -> None:
+        """Pack all that waits; sequences that are in no step group yet make groups of mixed lengths, longest first, the last one maybe short."""
+        self.fill(0)
+        waiting = [(length, rows) for length in sorted(self.open, reverse=True) for rows in self.open[length]]
+        self.open, group, tokens = {}, [], 0
+        for length, rows in waiting:
+            group.append(rows)
+            tokens += length
+            if tokens >= self.step_tokens:
+                self.step(group)
+                group, tokens = [], 0
+        if group:
+            self.step(group)
 
     def take(self, room: int) -> tuple | None:
         """The first piece of the longest tier that fits as a whole, else a cut from the next shorter queue."""
@@ -223,7 +249,7 @@ def pack(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: s
                 packer.add(doc, t.encode(text) + end)
             if packer.rows:
                 yield rows()
-        packer.fill(0)
+        packer.finish()
         if packer.rows:
             yield rows()
 

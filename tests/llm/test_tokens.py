@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from cellweave.llm import packing, sentencepieces
 
@@ -28,11 +29,20 @@ def test_pieces_equal_the_library():
         assert sentencepieces.decode_ids(ids, MODEL) == c.whole.decode(ids.tolist()), repr(s)
 
 
-def test_any_ids_decode_like_the_library():
-    c, rng = sentencepieces.coder(MODEL), np.random.default_rng(2)
-    for _ in range(500):
-        ids = rng.integers(0, 600, rng.integers(0, 12))
-        assert sentencepieces.decode_ids(ids, MODEL) == (c.whole.decode(ids.tolist()) if len(ids) else "")
+@pytest.mark.parametrize("seed", range(4))
+def test_any_ids_decode_like_the_library(seed):
+    """Ids of the whole vocabulary, of byte pieces (mostly printable ones) and of marked pieces, in any order."""
+    c, rng = sentencepieces.coder(MODEL), np.random.default_rng(seed)
+    n = c.whole.get_piece_size()
+    octets = [i for i in range(n) if c.whole.is_byte(i)]
+    marked = [i for i in range(n) if c.whole.id_to_piece(i)[0] == sentencepieces.MARK]
+    pools = [np.arange(n), np.arange(600), np.array(octets), np.array(octets[32:127]), np.array(marked)]
+    for _ in range(1500):
+        ids = np.array([rng.choice(pools[rng.integers(5)]) for _ in range(rng.integers(0, 9))], np.int64)
+        assert sentencepieces.decode_ids(ids, MODEL) == (c.whole.decode(ids.tolist()) if len(ids) else ""), ids
+    for first in (octets[32], octets[65], marked[0]):
+        for second in (octets[32], marked[5], octets[0xE6]):
+            assert sentencepieces.decode_ids(np.array([first, second]), MODEL) == c.whole.decode([first, second])
 
 
 def test_encode_and_decode_frames(odd, none):
@@ -57,22 +67,22 @@ def test_piece_query(spark, sf):
 
 @pytest.mark.parametrize("ranks", [None, RANKS])
 def test_byte_pairs_equal_the_library(ranks):
-    t = packing.ChunkTokenizer(JSON, ranks)
-    long = ["a" * 100_000, " " * 100_000 + "x", "\n" * 50_000, "é" * 20_000]
+    t, library = packing.ChunkTokenizer(JSON, ranks), Tokenizer.from_file(JSON)
+    long = ["a" * 100_000, " " * 100_000 + "x", "\n" * 50_000, "é" * 20_000, " " * 1_000_000, "a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|>y <|endoftext|", "é" * 300 + "<|endoftext|>"]
     for s in strings(3000, 3) + long:
-        assert np.frombuffer(t.encode(s), "<u4").tolist() == t.tokenizer.encode(s, add_special_tokens=False).ids, repr(s[:40])
+        assert np.frombuffer(t.encode(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids, repr(s[:40])
 
 
 def check_packed(rows, texts, top=1024):
     """Every id lies in exactly one piece; sequences have no gap and a power of two of tokens, so no padding."""
-    t = packing.tokenizer(JSON, RANKS)
+    library = Tokenizer.from_file(JSON)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
         by_seq[r["sequence_id"]].append(r)
     wanted = defaultdict(list)
     for i, s in texts:
-        wanted[i].append(np.append(np.frombuffer(t.encode(s or ""), "<u4"), np.uint32(0)).astype("<u4"))
+        wanted[i].append(np.array([*library.encode(s or "", add_special_tokens=False).ids, 0], "<u4"))
     assert set(by_doc) == set(wanted)
     for i, docs in wanted.items():
         pieces = sorted(by_doc[i], key=lambda r: r["start"])
@@ -89,6 +99,14 @@ def check_packed(rows, texts, top=1024):
             assert r["offset"] == at and r["length"] > 0
             at += r["length"]
         assert at <= top and at & (at - 1) == 0 and all(r["sequence_length"] == at for r in pieces)
+        assert len({r["step_group"] for r in pieces}) == 1
+    # Step groups are numbered over the whole; in each task all but one hold equally many tokens.
+    steps = defaultdict(int)
+    for r in rows:
+        steps[r["step_group"]] += r["length"]
+    assert all(n <= packing.STEP_TOKENS for n in steps.values())
+    short = [g >> 33 for g, n in steps.items() if n < packing.STEP_TOKENS]
+    assert len(short) == len(set(short)) and {g >> 33 for g in steps} == {r["sequence_id"] >> 33 for r in rows}
 
 
 def test_packing_query(spark, sf):
@@ -110,7 +128,7 @@ def test_packer_tiers_and_groups():
     docs = [rng.integers(0, 9, rng.integers(1, 200)).astype("<u4").tobytes() for _ in range(400)]
     for k, d in enumerate(docs):
         p.add(k, d)
-    p.fill(0)
+    p.finish()
     rows = p.drain()
     back = defaultdict(list)
     tokens = defaultdict(int)
