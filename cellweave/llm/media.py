@@ -5,7 +5,10 @@ structure (chunk lengths, header sizes, checksums) and gives the item's exact le
 0 that fills the blob corrects the declared type; valid items elsewhere are carved out as embedded media.
 
 A payload is stored as WAV, AU, BMP or PNG samples of 8 bits, by its checksum, so equal payloads have equal media.  Null texts are
-empty; an empty text is stored as 64 zero bytes.  Blobs that hold no known format have a null type and no payload.
+empty; an empty text is stored as 64 zero bytes.  Blobs that hold no known format have a null type and no payload.  Valid media whose
+samples are not plain 8-bit ones have a type, but null payload and feature: other depths or colours, compressed WAV or BMP, interlaced
+or filtered PNG, PNG whose stream is damaged or does not inflate to exactly the rows its header declares, items cut off before their
+samples end, and images of over MOST_SAMPLES samples, which one value of a binary column cannot hold.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ KINDS = ("wav", "au", "bmp", "png")
 MIME = {"wav": "audio/wav", "au": "audio/basic", "bmp": "image/bmp", "png": "image/png", "gif": "image/gif", "jpeg": "image/jpeg"}
 #: Fixed: the magic bytes of each format.
 MAGIC = {b"RIFF": "wav", b".snd": "au", b"BM": "bmp", b"\x89PNG\r\n\x1a\n": "png", b"GIF87a": "gif", b"GIF89a": "gif", b"\xff\xd8\xff": "jpeg"}
+#: Samples that a binary value can hold.
+MOST_SAMPLES = 1 << 30
 _PALETTE = b"".join(bytes((k, k, k, 0)) for k in range(256))
 
 
@@ -153,26 +158,29 @@ def sniff(blob: bytes) -> list[tuple[str, int, int]]:
 
 
 def samples(blob: bytes, kind: str, at: int, length: int) -> bytes | None:
-    """The stored 8-bit samples of a valid item of one of KINDS; None for what does not hold plain 8-bit samples."""
+    """The stored 8-bit samples of a valid item of one of KINDS; None for what does not hold plain 8-bit samples as a whole."""
+    whole = lambda start, n: blob[start : start + n] if 0 <= n <= MOST_SAMPLES and start + n <= at + length else None
     if kind == "au":
         head, n, code = struct.unpack_from(">3I", blob, at + 4)
-        return blob[at + head : at + head + n] if code in (1, 2, 27) else None
+        return whole(at + head, n) if code in (1, 2, 27) else None
     if kind == "bmp":
-        start, width, height, bits = struct.unpack_from("<I", blob, at + 10)[0], *struct.unpack_from("<ii", blob, at + 18), struct.unpack_from("<H", blob, at + 28)[0]
-        return blob[at + start : at + start + width * abs(height)] if bits == 8 and width % 4 == 0 else None
+        start, width, height, bits, packing = *struct.unpack_from("<I", blob, at + 10), *struct.unpack_from("<ii", blob, at + 18), *struct.unpack_from("<HI", blob, at + 28)
+        return whole(at + start, width * abs(height)) if bits == 8 and packing == 0 and width % 4 == 0 else None
     if kind == "wav":
-        k, bits = at + 12, 0
+        k, plain = at + 12, False
         while k + 8 <= at + length:
             name, n = blob[k : k + 4], int.from_bytes(blob[k + 4 : k + 8], "little")
             if name == b"fmt ":
-                bits = int.from_bytes(blob[k + 22 : k + 24], "little")
+                plain = n >= 16 and blob[k + 8 : k + 10] == b"\1\0" and blob[k + 22 : k + 24] == b"\x08\0"
             if name == b"data":
-                return blob[k + 8 : k + 8 + n] if bits == 8 else None
+                return whole(k + 8, n) if plain else None
             k += 8 + n + n % 2
         return None
     if kind == "png":
-        width, height, depth, color = struct.unpack_from(">IIBB", blob, at + 16)
-        if (depth, color) != (8, 0):
+        if struct.unpack_from(">I", blob, at + 8)[0] != 13:
+            return None
+        width, height, *form = struct.unpack_from(">IIBBBBB", blob, at + 16)
+        if form != [8, 0, 0, 0, 0] or not 0 < (width + 1) * height <= MOST_SAMPLES:
             return None
         k, parts = at + 8, []
         while k < at + length:
@@ -180,7 +188,14 @@ def samples(blob: bytes, kind: str, at: int, length: int) -> bytes | None:
             if blob[k + 4 : k + 8] == b"IDAT":
                 parts.append(blob[k + 8 : k + 8 + n])
             k += 12 + n
-        rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, width + 1)
+        inflate = zlib.decompressobj()
+        try:
+            rows = inflate.decompress(b"".join(parts), (width + 1) * height + 1)
+        except zlib.error:
+            return None
+        if len(rows) != (width + 1) * height or not inflate.eof:
+            return None
+        rows = np.frombuffer(rows, np.uint8).reshape(height, width + 1)
         return None if rows[:, 0].any() else np.ascontiguousarray(rows[:, 1:]).tobytes()
     return None
 
