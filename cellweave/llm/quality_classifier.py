@@ -31,8 +31,9 @@ VOCABULARY = 20_000
 NEAR = 2
 HIDDEN = 32
 THRESHOLD = 0.7
-#: Distinct raw words whose numbers a worker keeps.
+#: Distinct raw words whose numbers a worker keeps, and distinct forms, before it starts new tables.
 TABLE_WORDS = 400_000
+TABLE_FORMS = 100_000
 
 _FORM = bytes.maketrans(bytes(range(256)), bytes(97 if 97 <= b < 123 or b >= 128 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256)))
 _AGAIN = re.compile(rb"(.)\1+", re.S)
@@ -48,8 +49,8 @@ def index_vector(name: bytes, width: int = WIDTH) -> np.ndarray:
 
 
 def form(word: bytes) -> bytes:
-    """How a word is written: runs of lower case, upper case, digits and the symbols themselves, eight marks at most."""
-    return _AGAIN.sub(rb"\1", word.translate(_FORM))[:8]
+    """How a word is written: runs of lower case, upper case, digits and the symbols themselves."""
+    return _AGAIN.sub(rb"\1", word.translate(_FORM))
 
 
 def key(word: bytes) -> bytes:
@@ -96,9 +97,9 @@ class Model:
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         """Mean context vector beside mean form vector of each text; zero where there is no word."""
-        if len(self.table) > TABLE_WORDS:
-            self.table.clear()
-            self.pairs.clear()
+        if len(self.table) > TABLE_WORDS or len(self.forms) > TABLE_FORMS:
+            for table in (self.table, self.pairs, self.forms, self.form_rows):
+                table.clear()
         split = [t.encode().split() for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
         out = np.zeros((len(texts), 2 * WIDTH), np.float32)
@@ -108,17 +109,22 @@ class Model:
         doc = np.repeat(np.arange(len(texts)), counts)
         pairs = np.array(self.pairs, np.int64)
         row, shape = pairs[n, 0], pairs[n, 1]
-        forms = np.stack(self.form_rows)
         full = counts > 0
         starts = (np.cumsum(counts) - counts)[full]
         total = np.zeros((int(full.sum()), WIDTH), np.float32)
         for at in range(0, WIDTH, 16):  # a block of columns at a time keeps the gathered words small
             total[:, at : at + 16] = np.add.reduceat(self.vectors[:, at : at + 16][row], starts)
-        hist = np.bincount(doc * len(forms) + shape, minlength=len(texts) * len(forms)).reshape(len(texts), -1).astype(np.float32)
+        # Each text's different forms with their counts; few against its words, and never a row for each form of the worker's table.
+        own, many = np.unique(doc * len(self.form_rows) + shape, return_counts=True)
+        where, shape = np.divmod(own, len(self.form_rows))
+        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        for lo in range(0, len(first), 1024):
+            a, b = first[lo], first[lo + 1024] if lo + 1024 < len(first) else len(own)
+            out[where[first[lo : lo + 1024]], WIDTH:] = np.add.reduceat(np.stack([self.form_rows[k] for k in shape[a:b]]) * many[a:b, None], first[lo : lo + 1024] - a)
         same = (n[1:] == n[:-1]) & (doc[1:] == doc[:-1])
         echo = np.bincount(doc[1:][same], minlength=len(texts)).astype(np.float32)
         out[full, :WIDTH] = total
-        out[:, WIDTH:] = hist @ forms + echo[:, None] * 4 * index_vector(b"again")
+        out[:, WIDTH:] += echo[:, None] * 4 * index_vector(b"again")
         out[full] /= counts[full, None]
         return out
 
