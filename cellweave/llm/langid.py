@@ -4,8 +4,8 @@ Each language has a codeword.  For every bit a logistic classifier over hashed b
 Decoding is weighted by loss: a codeword's distance is the sum, over the bits, of the logistic loss of the bit's margin times the
 bit's weight (its accuracy on the sample above chance).  The nearest codeword wins; a small lead over the second flags ambiguity.
 
-Fitted on a bounded sample of documents with a language, ids of crc32 modulo 4 equal to 2 excepted.  A null text, or one without a letter,
-is `und` with score 0.  Ties go to the first language in order.  With no labelled row at all, everything is `und`.
+Fitted on a bounded sample of documents with a language, drawn by language so that rare ones are learned too, ids of crc32 modulo 4 equal
+to 2 excepted.  A null text, or one without a letter, is `und` with score 0.  Ties go to the first language in order.  With no labelled row at all, everything is `und`.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.runtime import crc_mod, read, ship_package, slices, texts_of
-from cellweave.llm.samples import labelled
+from cellweave.llm.samples import by_label
 
 BUCKETS = 4096
 SAMPLE_ROWS = 4000
@@ -120,8 +120,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 150, rate: float = 0.0
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES) -> Model:
-    """Fit on at most `rows` ids with a language, texts of at most `text_bytes` bytes."""
-    got = labelled(docs, docs.select("doc_id", "lang"), "lang", rows, text_bytes).toPandas().sort_values(["doc_id", "label", "text"], kind="stable")
+    """Fit on at most `rows` documents with a language, an equal share of each, texts of at most `text_bytes` bytes."""
+    got = by_label(docs, "lang", rows, text_bytes).toPandas().sort_values(["doc_id", "label", "text"], kind="stable")
     return fit(got["text"].tolist(), got["label"].tolist())
 
 

@@ -1,8 +1,12 @@
-"""Bounded samples of labelled rows, by which classifiers are fitted."""
+"""Bounded samples of labelled rows, by which classifiers are fitted.
+
+Rows are drawn by hashes of their id and text, so the sample depends neither on the partitioning nor on the order of the input, and
+copies of a row count once.  Null labels and texts do not take part, nor does the held-out fold.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.runtime import crc_mod, stable_sample
@@ -13,15 +17,46 @@ SAMPLE_ROWS = 6000
 SAMPLE_TEXT_BYTES = 20_000
 
 
+def _usable(docs: DataFrame, text_bytes: int | None) -> DataFrame:
+    out = docs.withColumn("text", F.col("text").cast("string")).where(F.col("text").isNotNull())
+    return out if text_bytes is None else out.where(F.octet_length("text") <= text_bytes)
+
+
+def _once(rows: DataFrame, *by: str) -> DataFrame:
+    """One row of each (by, hash of id and text); copies meet in the tasks that read them."""
+    hashed = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
+    first = hashed.groupBy(*by, "hash").agg(F.min(F.struct("doc_id", "text", "label")).alias("_r"))
+    return first.select("_r.*", "hash", *(c for c in by if c not in ("doc_id", "text", "label")))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, text_bytes: int | None = SAMPLE_TEXT_BYTES) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled ids outside the held-out fold; null ids, labels and texts do not take part.
+    """(doc_id, text, label) of at most `rows` documents with a labelled id; of an id's labels the least counts, null ids do not take part.
+
+    The ids with the smallest hashes are taken; where ids repeat with different texts, the first `rows` rows in order of hashes.
+    """
+    picked = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & (crc_mod("_id", 4) != 2))
+    picked = stable_sample(picked.groupBy("_id").agg(F.min("_label").alias("_label")), "_id", rows)
+    found = _usable(docs.select("doc_id", "text"), text_bytes).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    found = _once(found.select("doc_id", "text", F.col("_label").alias("label")), "doc_id")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(rows).select("doc_id", "text", "label")
+
+
+def by_label(docs: DataFrame, label: str, rows: int, text_bytes: int | None = SAMPLE_TEXT_BYTES) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` documents, an equal share for each label; a rare label gives all it has.
 
-    The ids with the smallest hashes are taken, so the sample does not depend on how the input is partitioned.
+    More labels than rows: the most frequent ones, ties in their order.
     """
-    picked = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("label")).where(F.col("_id").isNotNull() & F.col("label").isNotNull() & (crc_mod("_id", 4) != 2))
-    picked = stable_sample(picked, "_id", rows).groupBy("_id").agg(F.min("label").alias("label"))
-    out = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    if text_bytes is not None:
-        out = out.where(F.octet_length("text") <= text_bytes)
-    # Ids that repeat bring several rows; the limit only holds where most rows share a few ids.
-    return out.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label").limit(2 * rows)
+    usable = _usable(docs.select("doc_id", "text", F.col(label).alias("label")), text_bytes).where(F.col("label").isNotNull() & (crc_mod("doc_id", 4) != 2))
+    counts = usable.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(rows).collect()
+    # Labels with fewer rows than an equal share leave theirs to the others.
+    left, quota = rows, {}
+    for k, r in enumerate(sorted(counts, key=lambda r: r["n"])):
+        quota[r["label"]] = min(r["n"], left // (len(counts) - k))
+        left -= quota[r["label"]]
+    kind = docs.schema[label].dataType.simpleString()
+    # A little more than the share passes by its hash alone, so that no task has to rank a whole label.
+    shares = docs.sparkSession.createDataFrame([(r["label"], quota[r["label"]], min(1.0, (1.2 * quota[r["label"]] + 60) / r["n"])) for r in counts], f"label {kind}, quota long, share double")
+    hashed = usable.withColumn("hash", F.xxhash64("doc_id", "text")).join(F.broadcast(shares), "label").where(F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    ranked = _once(hashed.select("doc_id", "text", "label", "quota"), "label", "quota")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash", "doc_id")))
+    return ranked.where("rank <= quota").select("doc_id", "text", "label")
