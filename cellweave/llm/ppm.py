@@ -1,326 +1,435 @@
 """Language-model scoring by prediction by partial matching, beside a word-count baseline over the whole training part.
 
-The model is a trie of byte contexts, up to `depth` bytes deep, with the counts of all training texts.  An unseen byte escapes to the
-shorter context with probability q/(T+q) (q: different bytes seen, T: all), and bytes that the longer context has seen are excluded
-there.  Scores are log10 of the probability of the lower-cased text's bytes; each text starts with zero bytes as context.
-
-Counts come from all training rows and every context seen is kept.  A context's bytes are among those of any suffix of it, so what is
-excluded at a level depends on one context only.  Each part sends its distinct grams (context and byte) with their training counts;
-they are dealt by the context's last three bytes, so that all contexts of three bytes and more that share counts meet, and each part
-gets the probabilities of its own grams back.  Only the counts after contexts of up to two bytes go to every worker (2^24 at most by
-their nature, as they are seen).
-
-Word counts: rows are dealt into parts of the input's own partitions.  Each part sends its distinct words with their counts; these are summed by
-word, and each part gets its words' sums back and scores its texts, so (text, word) pairs are never shuffled and no vocabulary is
-broadcast.  Words travel as 96-bit hashes, and go back packed.
-
-Null texts are empty (one token, the end).  Rows with equal ids are scored each.  Without training rows N and V are zero.
+The model is a trie of byte contexts, up to `depth` bytes deep, with the counts of all training texts; every context seen is kept.  A
+text is its lower-cased bytes and an end symbol (byte 0xFF, which UTF-8 never holds); its first bytes have zero bytes as context.  The
+score is log10 of the probability of all of these, so, as in the baseline, that of the whole text and its end.
+
+After a context, a byte that has followed it has probability (1 - e) n / T (n: its count, T: all).  With probability e the model escapes to
+the context shorter by one byte, where the bytes that the longer one has seen are excluded, and so on, down to equal shares of the bytes
+that no training text holds.  A context that was never seen passes on to the shorter one.  e is estimated per class of contexts
+(their length, T and the number q of different bytes, both rounded above a limit), by leaving one out: of all occurrences in the class' contexts, taken
+away one at a time, the share that the rest would not have seen; where a class has few, method D's q / 2T prevails.
+
+How it is spread.  Input rows are dealt into parts of the input's own partitions.  A part sends its distinct words and grams (context and
+byte), packed by bucket of their hash; a bucket's task adds up, and a part gets the sums of its own words back.  The distinct grams are
+dealt once more by their last three context bytes: a context's bytes are among those of any suffix of it, so these groups hold all that
+the probabilities of contexts of three bytes and more depend on, and a group has no more than 256^(depth - 2) grams however large the corpus is.  Only the counts
+after contexts of up to two bytes (2^24 by their nature) and the escape classes go to every worker.  Probabilities go back to each part
+by the buckets that its grams came in.  No task depends on the frequency of a word or context, and texts are shuffled once, to meet the answers
+for their part.
+
+Null texts are empty (one token, the end).  Rows with equal ids are scored each.  Without training rows N and V are zero and all bytes
+are equally likely.  Very long texts are read in blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.runtime import crc_mod, materialise, read, remove, ship_package, slices, texts_of
 
 #: Bytes of the longest context that the query learns.
-DEPTH = 4
-#: Distinct words of a part that a worker holds before it sends them on.
-PART_WORDS = 400_000
-#: Stored bytes of a part.
+DEPTH = 5
+#: Stored bytes of a part, and the distinct words and grams of one that a worker holds before it sends them on.
 PART_BYTES = 32 << 20
-#: Distinct grams of a part that a worker holds before it sends them on.
+PART_WORDS = 400_000
 PART_GRAMS = 2_000_000
-#: No word: words are UTF-8.
+#: Bytes that are turned into words or grams at once.
+BLOCK = 1 << 20
+#: Grams of one row that goes to be assessed, if they have more than one group.
+ROW_GRAMS = 1_000_000
+#: The end of a text, as a byte and as a word: neither is in UTF-8.
 END = b"\xff"
-PAD = b"\0\0\0"
+#: Classes of totals and of numbers of different bytes; occurrences that method D's estimate counts as.
+SIDE = 64
+TRUST = 8.0
+_SPACE = re.compile(rb"[\t-\r ]")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hash(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hash(words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64 and 32 bits of each word."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
-    g = np.array([xxhash.xxh32_intdigest(w, 9) for w in words], np.uint32).view(np.int32)
-    return h, g
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), [("h", "<i8"), ("g", "<i4"), ("rest", "<i4")])
+    return raw["h"].copy(), raw["g"].copy()
+
+
+def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """(text's number, bytes) in groups of about BLOCK bytes; a longer text is cut, in front of white space only."""
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        at = 0
+        while at < len(t) or not at:
+            cut = len(t)
+            if cut - at > BLOCK and (m := _SPACE.search(t, at + BLOCK)):
+                cut = m.start()
+            group.append((k, t[at:cut]))
+            size, at = size + cut - at, max(cut, 1)
+            if size >= BLOCK:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (every byte of the texts and their ends with the `depth` bytes before it, at most six, as one number; its text's number)."""
+    a = np.frombuffer(b"".join(bytes(depth) + t + END for t in texts), np.uint8)
+    starts = np.cumsum([0, *(len(t) + depth + 1 for t in texts)])
+    for at in range(depth, len(a), BLOCK):
+        stop = min(len(a), at + BLOCK)
+        code = np.zeros(stop - at, np.int64)
+        for k in range(depth + 1):
+            code <<= 8
+            code |= a[at - depth + k : stop - depth + k]
+        first, last = np.searchsorted(starts, [at, stop - 1], "right") - 1
+        owner = np.repeat(np.arange(first, last + 1), np.diff(np.clip(starts[first : last + 2], at, stop)))
+        inside = np.arange(at, stop) - starts[owner] >= depth
+        yield code[inside], owner[inside]
+
+
+def bucket_of(code: np.ndarray, n: int) -> np.ndarray:
+    return ((code.astype(np.uint64) * _MIX >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+
+
+def dealt(p: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The different values of p, and of each column the bytes of the values that go with them."""
+    order = np.argsort(p, kind="stable")
+    p = p[order]
+    cuts = [0, *(np.flatnonzero(np.diff(p)) + 1), len(p)] if len(p) else [0]
+    return p[cuts[:-1]], [[x[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in columns]
+
+
+def joined(rows: list, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind)
 
 
-def grams(texts: list[bytes], depth: int = 3) -> np.ndarray:
-    """Every byte of the texts with the `depth` bytes before it (at most seven), as one number each."""
-    a = np.frombuffer(b"".join(bytes(depth) + t for t in texts), np.uint8)
-    code = np.zeros(max(len(a) - depth, 0), np.uint32 if depth < 4 else np.int64)
-    for k in range(depth + 1):
-        code <<= 8
-        code |= a[k : k + len(code)]
-    ends = np.cumsum([len(t) + depth for t in texts])[:-1]
-    keep = np.ones(len(code), bool)
-    keep[(ends[:, None] + np.arange(-depth, 0)).ravel()] = False  # windows that end in the next text's padding
-    return code[keep]
+def added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order, and their counts."""
+    own, at = np.unique(code, return_inverse=True)
+    return own, np.bincount(at, n, len(own)).astype(np.int64)
 
 
-class Short:
-    """Counts after contexts of up to two bytes, and the probabilities of grams that follow from these and the grams' own counts."""
+def class_of(total: np.ndarray, different: np.ndarray) -> np.ndarray:
+    """Class of a context with so many bytes, so many of them different."""
+    t = np.maximum(np.asarray(total, float), 1)
+    rounded = np.where(t <= 16, t, np.minimum(17 + np.floor(2 * np.log2(t / 16)), SIDE - 1)).astype(np.int64)
+    return rounded * SIDE + np.minimum(np.asarray(different), SIDE - 1).astype(np.int64)
 
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        """code: two context bytes and a byte, in order and all that training texts have; n: how often."""
+
+def left_out(total: np.ndarray, different: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By class: occurrences that the others of their context would not, and would, have seen.  once: bytes that a context has seen once."""
+    some = total > 1
+    total, different, once = total[some], different[some], once[some]
+    fresh = np.bincount(class_of(total - 1, different - 1), once, SIDE * SIDE)
+    return fresh, np.bincount(class_of(total - 1, different), total - once, SIDE * SIDE)
+
+
+class Model:
+    """Counts after contexts of up to two bytes, escapes of all classes, and the probabilities that follow from these and the grams' own counts."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, classes: np.ndarray):
+        """code: two context bytes and a byte, in order and all that training texts have; n: how often; classes: left_out() by context length, of three bytes and more."""
         self.code, self.n = np.asarray(code, np.int64), np.asarray(n, float)
         self.n1 = np.bincount(self.code & 0xFFFF, self.n, 65536)
         one = self.n1.reshape(256, 256)
         self.n0 = one.sum(0)
+        two = self.code >> 8
         # Of each context: all counts, different bytes, and how often these bytes follow the next shorter context.
-        self.of0 = self.n0.sum(), (self.n0 > 0).sum()
+        self.of0 = np.array([self.n0.sum()]), np.array([(self.n0 > 0).sum()]), np.zeros(1)
         self.of1 = one.sum(1), (one > 0).sum(1), np.where(one > 0, self.n0, 0).sum(1)
-        two = self.code >> 8
         self.of2 = np.bincount(two, self.n, 65536), np.bincount(two, minlength=65536), np.bincount(two, self.n1[self.code & 0xFFFF], 65536)
+        once = np.array([(self.n0 == 1).sum()]), (one == 1).sum(1), np.bincount(two, self.n == 1, 65536)
+        self.classes = [left_out(of[0], of[1], o) for of, o in zip((self.of0, self.of1, self.of2), once, strict=True)] + list(classes)
 
-    @staticmethod
-    def step(n, t, q, s, n_up, t_up, q_up, back_up) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of a byte after a context, and after an escape from it, from counts of both it and the next shorter context."""
-        rest, fresh = t_up - s, np.where(q_up < 256, q_up - q, 0)
-        back = np.where(rest > 0, np.where(n_up > 0, n_up, fresh * back_up) / np.maximum(rest + fresh, 1e-300), back_up)
-        p = np.where(t > 0, np.where(n > 0, n, q * back) / np.maximum(t + np.where(q < 256, q, 0), 1e-300), back)
-        return p, back
+    def escape(self, k: int, total: np.ndarray, different: np.ndarray) -> np.ndarray:
+        """Probability of an escape from contexts of k bytes."""
+        fresh, known = self.classes[k]
+        at = class_of(total, different)
+        e = (fresh[at] + TRUST * different / (2 * np.maximum(total, 1))) / (fresh[at] + known[at] + TRUST)
+        return np.where(different < 256, np.clip(e, 1e-6, 0.999), 0.0)
 
     def log(self, code: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
-        """log10 probability of each gram's byte.  code: different grams, all with the same last three context bytes as one of them; n: training counts."""
-        byte, c1, c2 = code & 255, code & 0xFFFF, code & 0xFFFFFF
-        x1, x2 = c1 >> 8, c2 >> 8
-        back = np.full(len(code), 1 / max(256 - self.of0[1], 1))
-        now = (self.n1[c1], *(x[x1] for x in self.of1))
-        _, back = self.step(*now, self.n0[byte], *self.of0, back)
+        """log10 probability of each gram's byte.  code: different grams, all of some groups of equal last three context bytes; n: training counts."""
+        c1, c2 = code & 0xFFFF, code & 0xFFFFFF
         at = np.minimum(np.searchsorted(self.code, c2), max(len(self.code) - 1, 0))
         n2 = np.where(self.code[at] == c2, self.n[at], 0.0) if len(self.code) else np.zeros(len(code))
-        up, now = now, (n2, *(x[x2] for x in self.of2))
-        p, back = self.step(*now, *up[:3], back)
+        zero = np.zeros(len(code), np.int64)
+        levels = [(here, *(x[context] for x in of)) for here, of, context in ((self.n0[code & 255], self.of0, zero), (self.n1[c1], self.of1, c1 >> 8), (n2, self.of2, c2 >> 8))]
         for k in range(3, depth + 1):
-            own, first, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_index=True, return_inverse=True)
-            m = np.bincount(at, n, len(own))
-            context = np.unique(own >> 8, return_inverse=True)[1]
-            of = np.bincount(context, m), np.bincount(context, m > 0), np.bincount(context, np.where(m > 0, now[0][first], 0.0))
-            up, now = now, (m[at], *(x[context[at]] for x in of))
-            p, back = self.step(*now, *up[:3], back)
-        return np.log10(p)
-
-
-class Trie:
-    """The same model with contexts of three bytes as one dense table of log10 probabilities, for few contexts."""
-
-    def __init__(self, third: tuple[np.ndarray, np.ndarray], fourth: tuple[np.ndarray, np.ndarray]):
-        """third: (code of two context bytes and a byte, count), all of them; fourth: the same with three context bytes, of kept contexts."""
-        code, n = np.asarray(third[0], np.int64), np.asarray(third[1], float)
-        c0 = np.bincount(code & 255, n, 256)[None, :]
-        c1 = np.bincount(code & 0xFFFF, n, 65536).reshape(256, 256)
-        p0, b0 = self.level(c0, np.zeros((1, 256)), np.full((1, 256), 1 / 256))
-        p1, b1 = self.level(c1, np.broadcast_to(c0, (256, 256)), np.broadcast_to(b0, (256, 256)))
-        two, row = np.unique(code >> 8, return_inverse=True)
-        c2 = np.zeros((len(two), 256))
-        c2[row, code & 255] = n
-        p2, b2 = self.level(c2, c1[two & 255], b1[two & 255])
-        code4, n4 = np.asarray(fourth[0], np.int64), np.asarray(fourth[1], float)
-        three, row4 = np.unique(code4 >> 8, return_inverse=True)
-        parent = np.searchsorted(two, three & 0xFFFF)
-        tables = [p0, p1, p2]
-        order = np.argsort(row4, kind="stable")
-        row4, code4, n4 = row4[order], code4[order], n4[order]
-        for at in range(0, len(three), 4096):
-            lo, hi = np.searchsorted(row4, [at, at + 4096])
-            c3 = np.zeros((min(4096, len(three) - at), 256))
-            c3[row4[lo:hi] - at, code4[lo:hi] & 255] = n4[lo:hi]
-            q = parent[at : at + 4096]
-            tables.append(self.level(c3, c2[q], b2[q])[0])
-        self.log = np.log10(np.concatenate(tables)).astype(np.float32)
-        # Row of a context of two bytes: its own, else that of its last byte; below it, the rows of contexts of three.
-        self.second = np.tile(np.where(c1.sum(1) > 0, np.arange(256) + 1, 0), 256).astype(np.int32)
-        self.second[two] = 257 + np.arange(len(two))
-        self.slot = np.full(65536, -1, np.int32)
-        self.slot[two] = np.arange(len(two))
-        self.child = np.full((len(two) + 1, 256), -1, np.int32)
-        self.child[parent, three >> 16] = 257 + len(two) + np.arange(len(three))
-
-    @staticmethod
-    def level(counts: np.ndarray, above: np.ndarray, back_above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities after each node, and what follows its escape, from its counts and those of the next shorter context."""
-        seen = counts > 0
-        rest = np.where(seen, 0.0, above)
-        q1, t1 = (rest > 0).sum(1, keepdims=True), rest.sum(1, keepdims=True)
-        open1 = ((rest == 0) & ~seen).any(1, keepdims=True)  # some byte is new to the shorter context too
-        whole = np.maximum(t1 + np.where(open1, q1, 0), 1e-300)
-        back = np.where(t1 > 0, np.where(rest > 0, rest / whole, np.where(open1, q1 / whole, 0.0) * back_above), back_above)
-        back = np.where(seen, 0.0, back)
-        back /= np.maximum(back.sum(1, keepdims=True), 1e-300)
-        q, t = seen.sum(1, keepdims=True), counts.sum(1, keepdims=True)
-        whole = np.maximum(t + np.where(q < 256, q, 0), 1e-300)
-        p = np.where(t > 0, np.where(seen, counts / whole, q / whole * back), back)
-        return p, back
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        a = np.frombuffer(b"".join(PAD + t for t in texts), np.uint8)
-        starts = np.cumsum([0, *(len(t) + 3 for t in texts)])[:-1]
-        out = np.zeros(len(a))
-        step = 1 << 20
-        for at in range(3, len(a), step):
-            end = min(len(a), at + step)
-            x = a[at - 3 : end].astype(np.int32)
-            pair = x[1:-2] << 8 | x[2:-1]
-            row = self.child[self.slot[pair], x[:-3]]
-            row = np.where(row < 0, self.second[pair], row)
-            out[at:end] = self.log[row, x[3:]]
-        for k in range(3):
-            out[starts + k] = 0
-        return np.add.reduceat(out, starts) if len(texts) else out
-
-
-def gather(parts: DataFrame, depth: int) -> DataFrame:
-    """(kind, part, h, g, n): training counts of a part's distinct words (kind 0) and of its distinct byte grams (kind 1, in h)."""
-    names = ["kind", "part", "h", "g", "n"]
-
-    def rows(kind: int, part: int, h: np.ndarray, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(np.full(len(h), part, np.int64)), pa.array(h), pa.array(g), pa.array(n)], names=names)
+            here, context, at, m = contexts(code, n, k)
+            shorter = np.empty(len(here))
+            shorter[at] = levels[-1][0]
+            of = np.bincount(context, m), np.bincount(context, m > 0), np.bincount(context, np.where(m > 0, shorter, 0.0))
+            levels.append((m[at], *(x[context[at]] for x in of)))
+        back = np.full(len(code), 1 / max(256 - int(self.of0[1][0]), 1))
+        for k, (up, now) in enumerate(zip(levels, levels[1:], strict=False)):
+            back = self.step(k, *up[:3], now[3], back)
+        return np.log10(self.step(depth, *levels[-1][:3], np.zeros(len(code)), back))
+
+    def step(self, k: int, n: np.ndarray, total: np.ndarray, different: np.ndarray, excluded: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Probability of a byte in contexts of k bytes, of whose counts `excluded` are out of question; back: after the next escape."""
+        e, whole, rest = self.escape(k, total, different), np.maximum(total, 1), total - excluded
+        p = np.where(n > 0, (1 - e) * n / whole, e * back) / ((1 - e) * np.maximum(rest, 0) / whole + np.maximum(e, 1e-300))
+        return np.where(rest > 0, p, back)
+
+
+def contexts(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different grams with contexts of k bytes, their contexts' numbers, where each code is among them, and their counts."""
+    here, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    return here, np.unique(here >> 8, return_inverse=True)[1], at, np.bincount(at, n, len(here))
+
+
+def gather(parts: DataFrame, depth: int, n_buckets: int) -> DataFrame:
+    """(bucket, part, h, g, n): training counts of a part's distinct words and, in buckets from n_buckets on, of its distinct grams (in h), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, words = -1, {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        part, words, held = -1, Counter(), []
+
+        def rows(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            buckets, blobs = dealt(bucket, *columns)
+            return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), part, np.int64)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "part", "h", "g", "n"])
 
-        def flush():
-            nonlocal words
+        def send_words():
             if words:
-                keys = list(words)
-                h, g = word_hash(keys)
-                yield rows(0, part, h, g, np.fromiter(words.values(), np.int64, len(keys)))
-                words = {}
+                h, g = word_hash(words)
+                yield rows(bucket_of(h, n_buckets), h, g, np.fromiter(words.values(), np.int64, len(words)))
+                words.clear()
 
         def merge():
-            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            held[:] = [(codes, np.bincount(at, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64))]
+            held[:] = [added(*(np.concatenate(x) for x in zip(*held, strict=True)))] if held else []
 
-        def flush_grams():
+        def send_grams():
+            merge()
             if held:
-                merge()
-                codes, n = held.pop()
-                yield rows(1, part, codes.astype(np.int64), np.zeros(len(codes), np.int32), n)
+                code, n = held.pop()
+                yield rows(n_buckets + bucket_of(code, n_buckets), code, np.zeros(len(code), np.int8), n)
 
-        for batch in slices(batches, 1, 1 << 20):
+        for batch in slices(batches):
             p_all = batch.column(2).to_numpy()
             cuts = np.flatnonzero(np.diff(p_all)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(p_all)], strict=True):
                 one = batch.slice(lo, hi - lo)
-                if p_all[lo] != part or len(words) > PART_WORDS:
-                    yield from flush()
                 if p_all[lo] != part:
-                    yield from flush_grams()
+                    yield from send_words()
+                    yield from send_grams()
                     part = int(p_all[lo])
                 sides: tuple[list[bytes], list[bytes]] = ([], [])
                 for t, learn in zip(texts_of(one.column(1)), one.column(3).to_pylist(), strict=True):
-                    low = t.encode().lower()
-                    sides[bool(learn)].append(low)
-                    if learn:
-                        words[END] = words.get(END, 0) + 1
-                        for w in low.split():
-                            words[w] = words.get(w, 0) + 1
-                    else:
-                        words.setdefault(END, 0)
-                        for w in low.split():
-                            words.setdefault(w, 0)
+                    sides[bool(learn)].append(t.encode().lower())
                 for texts, learn in zip(sides, (0, 1), strict=True):
-                    if texts:
-                        codes, n = np.unique(grams(texts, depth), return_counts=True)
-                        held.append((codes, n * learn))
-                if sum(len(c) for c, _ in held) > PART_GRAMS:
-                    merge()
-                    if len(held[0][0]) > PART_GRAMS * 3 // 4:
-                        yield from flush_grams()
-        yield from flush()
-        yield from flush_grams()
-
-    return parts.select("doc_id", "text", "part", "train").mapInArrow(run, "kind int, part long, h long, g int, n long")
-
-
-def fit(counts: DataFrame) -> Short:
-    """From (h, n) rows of grams: counts after all contexts of up to two bytes.  At most 2^24 rows come to the driver."""
-    third = counts.where("n > 0").groupBy(F.col("h").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("h")).agg(F.sum("n").alias("n")).toPandas().sort_values("h")
-    return Short(third["h"].to_numpy(np.int64), third["n"].to_numpy(np.int64))
-
-
-def dealt(p: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """The parts in p, and of each column the bytes of each part's values."""
-    order = np.argsort(p, kind="stable")
-    p = p[order]
-    cuts = [0, *(np.flatnonzero(np.diff(p)) + 1), len(p)]
-    return p[cuts[:-1]], [[x[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in columns]
-
-
-def assessed(counts: DataFrame, short: Short, depth: int) -> DataFrame:
-    """(part, h, g): the grams of each part and their log10 probabilities, packed.  counts: (part, h, n), a gram in a part once or more."""
-    shared = counts.sparkSession.sparkContext.broadcast(short)
-    rows = counts.select("part", "h", "n", F.shiftright("h", 8).bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("last"))
-    rows = rows.repartition("last").sortWithinPartitions("last")
+                    if not texts:
+                        continue
+                    words[END] += len(texts) * learn
+                    for group in pieces(texts):
+                        found = [w for _, t in group for w in t.split()]
+                        if learn:
+                            words.update(found)
+                        else:
+                            for w in set(found):
+                                words.setdefault(w, 0)
+                        if len(words) > PART_WORDS:
+                            yield from send_words()
+                    for code, _ in grams(texts, depth):
+                        code, n = np.unique(code, return_counts=True)
+                        held.append((code, n * learn))
+                        if sum(len(c) for c, _ in held) > PART_GRAMS:
+                            merge()
+                            if len(held[0][0]) > PART_GRAMS * 3 // 4:
+                                yield from send_grams()
+        yield from send_words()
+        yield from send_grams()
+
+    return parts.select("doc_id", "text", "part", "train").mapInArrow(run, "bucket int, part long, h binary, g binary, n binary")
+
+
+def summed(gathered: DataFrame, n_buckets: int) -> DataFrame:
+    """(kind, to, h, g, n).  Kind 0: to a part, its words and their sums over all parts; 1: to a group's bucket, distinct grams and their sums; 2 and 3: N and V of
+    some words, in `to`."""
+    names = ["kind", "to", "h", "g", "n"]
+
+    def rows(kind: int, to: np.ndarray, blobs: list[list[bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(to), kind, np.int32)), pa.array(to), *(pa.array(x, pa.binary()) for x in blobs)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def whole(part: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            own, at = np.unique(code, return_inverse=True)
-            log = shared.value.log(own, np.bincount(at, n, len(own)), depth).astype("<f4")
-            parts, (h, g) = dealt(part, code, log[at])
-            return pa.RecordBatch.from_arrays([pa.array(parts), pa.array(h, pa.binary()), pa.array(g, pa.binary())], names=["part", "h", "g"])
-
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy() for k in range(4)))
-            size += batch.num_rows
-            if size > 500_000:
-                part, code, n, last = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(last, last[-1], "left"))
-                if cut:
-                    yield whole(part[:cut], code[:cut], n[:cut])
-                held = [(part[cut:], code[cut:], n[cut:], last[cut:])]
-                size = 0
-        if held:
-            part, code, n, _ = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(part):
-                yield whole(part, code, n)
-
-    return rows.mapInArrow(run, "part long, h binary, g binary")
-
-
-def summed(words: DataFrame) -> DataFrame:
-    """(part, h, g, c, n_sum, v_count): the sums of all words by word, packed per part; rows of part -1 hold totals of N and V."""
-    same = Window.partitionBy("h", "g")
-    counted = words.select("part", "h", "g", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("part")) == 1).alias("first"))
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(bucket, []).append(row)
+        while held:
+            bucket, got = held.popitem()
+            part, h, g, n = zip(*got, strict=True)
+            code, count = joined(h, "<i8"), joined(n, "<i8")
+            if bucket >= n_buckets:
+                code, count = added(code, count)
+                to, blobs = dealt(bucket_of(code >> 8 & 0xFFFFFF, n_buckets), code, count)
+                yield rows(1, to, [blobs[0], [b""] * len(to), blobs[1]])
+                continue
+            part, more = np.repeat(np.array(part, np.int64), [len(x) // 8 for x in h]), joined(g, "<i4")
+            order = np.lexsort((more, code))
+            part, code, more, count = part[order], code[order], more[order], count[order]
+            fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (more[1:] != more[:-1])])
+            sums = np.add.reduceat(count, np.flatnonzero(fresh))
+            yield rows(0, *dealt(part, code, more, sums[np.cumsum(fresh) - 1]))
+            for kind, total in ((2, sums.sum()), (3, (sums > 0).sum())):
+                yield rows(kind, np.array([total]), [[b""]] * 3)
+
+    return gathered.repartitionById(2 * n_buckets, F.col("bucket")).mapInArrow(run, "kind int, to long, h binary, g binary, n binary")
+
+
+#: Tasks that add up the counts of short contexts, and the codes of class counts among theirs.
+SHORT_TASKS = 16
+_CLASS = 1 << 40
+
+
+def grouped(sums: DataFrame, n_buckets: int, depth: int) -> DataFrame:
+    """(kind, to, h, n).  Kind 1: the grams and sums of whole groups; 3: counts after contexts of two bytes, and of escape classes above _CLASS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n_sum, v_count = [], 0, 0, 0
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            p, blobs = dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield rows(p, *blobs, 0, 0)
-
-        def rows(p, h, g, c, n, v):
-            many = np.zeros(len(p), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(p), *(pa.array(x, pa.binary()) for x in (h, g, c)), pa.array(many + n), pa.array(many + v)], names=["part", "h", "g", "c", "n_sum", "v_count"])
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for to, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(to, []).append(row)
+        while held:
+            to, got = held.popitem()
+            code, n = (joined(x, "<i8") for x in zip(*got, strict=True))
+            order = np.argsort(code >> 8 & 0xFFFFFF, kind="stable")
+            code, n = code[order], n[order]
+            last = code >> 8 & 0xFFFFFF
+            short, count = [code[n > 0] & 0xFFFFFF], [n[n > 0]]
+            for k in range(3, depth + 1):
+                _, context, _, m = contexts(code, n, k)
+                for old, by_class in enumerate(left_out(np.bincount(context, m), np.bincount(context, m > 0), np.bincount(context, m == 1))):
+                    at = np.flatnonzero(by_class)
+                    short.append(_CLASS + (2 * k + old << 20) + at)
+                    count.append(by_class[at].astype(np.int64))
+            keys, blobs = dealt(*(lambda s, c: (s % SHORT_TASKS, s, c))(*added(np.concatenate(short), np.concatenate(count))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), 3, np.int32)), pa.array(keys), *(pa.array(x, pa.binary()) for x in blobs)], names=["kind", "to", "h", "n"])
+            ends, a = [*(np.flatnonzero(np.diff(last)) + 1), len(code)], 0
+            for k, b in enumerate(ends):
+                if k + 1 == len(ends) or ends[k + 1] - a > ROW_GRAMS:
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([to]), pa.array([code[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], names=["kind", "to", "h", "n"])
+                    a = b
+
+    return sums.where("kind = 1").select("to", "h", "n").repartitionById(n_buckets, F.col("to").cast("int")).mapInArrow(run, "kind int, to long, h binary, n binary")
+
+
+def fit(groups: DataFrame, depth: int) -> Model:
+    """The counts after all contexts of up to two bytes (at most 2^24 by their nature) and of the escape classes come to the driver."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            p, h, g, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            held.append((p, h, g, c))
-            size += len(p)
-            n_sum, v_count = n_sum + int(c[first].sum()), v_count + int((c[first] > 0).sum())
-            if size > 500_000:
-                yield from packed()
-                held, size = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(tuple(joined([x], "<i8") for x in row))
+            if sum(len(c) for c, _ in held) > PART_GRAMS:
+                held = [added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
         if held:
-            yield from packed()
-        yield rows(np.array([-1]), [b""], [b""], [b""], n_sum, v_count)
+            code, n = added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-    return counted.mapInArrow(run, "part long, h binary, g binary, c binary, n_sum long, v_count long")
+    got = groups.where("kind = 3").repartitionById(SHORT_TASKS, F.col("to").cast("int")).select("h", "n").mapInArrow(run, "code long, n long").toPandas().sort_values("code")
+    code, n = got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    classes = np.zeros((depth + 1, 2, SIDE * SIDE))
+    of = code[code >= _CLASS] - _CLASS
+    classes.reshape(2 * depth + 2, -1)[of >> 20, of & (1 << 20) - 1] = n[code >= _CLASS]
+    return Model(code[code < _CLASS], n[code < _CLASS], classes[3:])
 
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = 3) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) per row; train: a Column that is true for the rows to learn from, depth: bytes of the longest context."""
+def answers(gathered: DataFrame, groups: DataFrame, model: Model, n_buckets: int, depth: int) -> DataFrame:
+    """(part, h, g): the grams that each part has sent and their log10 probabilities, packed."""
+    shared = gathered.sparkSession.sparkContext.broadcast(model)
+
+    def assess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                code, n = (joined([x], "<i8") for x in row)
+                buckets, (h, g) = dealt(bucket_of(code, n_buckets), code, shared.value.log(code, n, depth).astype("<f4"))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), -1)), pa.array(h, pa.binary()), pa.array(g, pa.binary())], names=["bucket", "part", "h", "g"])
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[tuple]] = {}
+        asked: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for bucket, part, h, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (known if part < 0 else asked).setdefault(bucket, []).append((part, h, g))
+        while asked:
+            bucket, rows = asked.popitem()
+            _, code, log = zip(*known.pop(bucket), strict=True)
+            code, log = joined(code, "<i8"), joined(log, "<f4")
+            order = np.argsort(code)
+            code, log = code[order], log[order]
+            for part, h, _ in rows:
+                own = joined([h], "<i8")
+                at = np.minimum(np.searchsorted(code, own), len(code) - 1)
+                if not (code[at] == own).all():
+                    raise RuntimeError("a part asks for a gram that it has not sent")
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([h], pa.binary()), pa.array([log[at].tobytes()], pa.binary())], names=["part", "h", "g"])
+
+    assessed = groups.where("kind = 1").select("h", "n").mapInArrow(assess, "bucket int, part long, h binary, g binary")
+    sent = gathered.where(F.col("bucket") >= n_buckets).select(F.col("bucket") - n_buckets, "part", "h", F.lit(None).cast("binary").alias("g")).toDF("bucket", "part", "h", "g")
+    return sent.unionByName(assessed).repartitionById(n_buckets, F.col("bucket")).mapInArrow(reply, "part long, h binary, g binary")
+
+
+class Answers:
+    """What a part got back: the counts of its words and the log10 probabilities of its grams."""
+
+    def __init__(self, words: list[tuple], grams_: list[tuple], unit: float):
+        h, g, c = (joined(x, t) for x, t in zip(zip(*words, strict=True), ("<i8", "<i4", "<i8"), strict=True))
+        order = np.lexsort((g, h))
+        self.h, self.g, self.c, self.unit = h[order], g[order], c[order], unit
+        code, log = (joined(x, t) for x, t in zip(zip(*grams_, strict=True), ("<i8", "<f4"), strict=True))
+        order = np.argsort(code, kind="stable")
+        self.code, self.logs = code[order], log[order]
+
+    def counts(self, words: Iterable[bytes]) -> np.ndarray:
+        fh, fg = word_hash(words)
+        k = np.searchsorted(self.h, fh, "left")
+        while (miss := (self.h[np.minimum(k, len(self.h) - 1)] == fh) & (self.g[np.minimum(k, len(self.h) - 1)] != fg)).any():
+            k = k + miss
+        k = np.minimum(k, len(self.h) - 1)
+        if not ((self.h[k] == fh) & (self.g[k] == fg)).all():
+            raise RuntimeError("a part lacks one of its own words")
+        return self.c[k]
+
+    def score(self, texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, known ones, the baseline's score and the model's, of lower-cased texts."""
+        size = len(texts)
+        end = float(self.counts([END])[0])
+        tokens, known = np.ones(size, np.int64), np.full(size, int(end > 0), np.int64)
+        base, score = np.full(size, math.log10(end + 1) - self.unit), np.zeros(size)
+        for group in pieces(texts):
+            split_up = [t.split() for _, t in group]
+            flat = [w for s in split_up for w in s]
+            if not flat:
+                continue
+            table = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+            c = self.counts(table)[np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))]
+            owner = np.repeat([k for k, _ in group], [len(s) for s in split_up])
+            tokens += np.bincount(owner, minlength=size)
+            known += np.bincount(owner[c > 0], minlength=size)
+            base += np.bincount(owner, np.log10(c + 1.0) - self.unit, size)
+        for code, owner in grams(texts, depth):
+            seen, at = np.unique(code, return_inverse=True)
+            k = np.minimum(np.searchsorted(self.code, seen), len(self.code) - 1)
+            if not (self.code[k] == seen).all():
+                raise RuntimeError("a part lacks one of its own grams")
+            score += np.bincount(owner, self.logs[k][at], size)
+        return tokens, known, base, score
+
+
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) per row; train: a Column that is true for the rows to learn from, depth: bytes of the longest context, 3 to 6."""
+    if not 3 <= depth <= 6:
+        raise ValueError("depth is 3 to 6")
     spark = docs.sparkSession
     ship_package(spark)
     per = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
@@ -328,79 +437,45 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     part = F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64(id_col), F.lit(split))
     # Written, so that a row's part stays the same whatever is computed again.
-    parts = materialise(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), part.alias("part"), train.alias("train")), "parts")
+    parts = materialise(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), part.alias("part"), F.coalesce(train, F.lit(False)).alias("train")), "parts")
     n_parts = int(parts.agg(F.coalesce(F.max("part") + 1, F.lit(1))).first()[0])
-    gathered = materialise(gather(parts, depth), "gathered")
-    # Dealt by word once: a part's words may come in several rows, where a worker had too many to hold.
-    words = gathered.where("kind = 0").repartition("h", "g").groupBy("h", "g", "part").agg(F.sum("n").alias("n"))
-    back = materialise(summed(words), "sums")
-    totals = back.where("part = -1").agg(F.coalesce(F.sum("n_sum"), F.lit(0)).alias("n"), F.coalesce(F.sum("v_count"), F.lit(0)).alias("v")).first()
-    n_all, v_all = int(totals["n"]), int(totals["v"])
-    counts = gathered.where("kind = 1").select("part", "h", "n")
-    logs_of = materialise(assessed(counts, fit(counts), depth), "grams")
-    remove(spark, gathered.scratch)
+    gathered = materialise(gather(parts, depth, n_parts), "gathered")
+    sums = materialise(summed(gathered, n_parts), "sums")
+    n_all, v_all = (int(x) for x in sums.agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("to"))), F.lit(0)) for k in (2, 3))).first())
+    groups = materialise(grouped(sums, n_parts, depth), "groups")
+    logs_of = materialise(answers(gathered, groups, fit(groups, depth), n_parts, depth), "answers")
+    for df in (gathered, groups):
+        remove(spark, df.scratch)
     none = lambda t: F.lit(None).cast(t)
-    rows = back.where("part >= 0").select("part", F.lit(0).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", "c")
-    rows = rows.unionByName(logs_of.select("part", F.lit(1).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", none("binary").alias("c")))
-    rows = rows.unionByName(
-        parts.select("part", F.lit(2).alias("at"), "doc_id", "text", *(none("binary").alias(c) for c in "hgc"))
-    )
+    rows = sums.where("kind = 0").select(F.col("to").alias("part"), F.lit(0).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", "n")
+    rows = rows.unionByName(logs_of.select("part", F.lit(1).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", none("binary").alias("n")))
+    rows = rows.unionByName(parts.select("part", F.lit(2).alias("at"), "doc_id", "text", *(none("binary").alias(c) for c in "hgn")))
     # One task for each part; parts are of like size, whatever the keys of their rows.
     rows = rows.repartitionById(n_parts, F.col("part").cast("int")).sortWithinPartitions("part", "at")
     names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     unit = math.log10(n_all + v_all + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pieces, h, g, c = -1, ([], []), None, None, None
-        for batch in slices(batches, 3, 1 << 20):
+        part, got, held = -1, ([], []), None
+        for batch in slices(batches, 3):
             p_all, at_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((np.diff(p_all) != 0) | (np.diff(at_all) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(p_all)], strict=True):
                 one = batch.slice(lo, hi - lo)
                 if p_all[lo] != part:
-                    part, pieces, h = int(p_all[lo]), ([], []), None
+                    part, got, held = int(p_all[lo]), ([], []), None
                 if at_all[lo] < 2:
-                    kinds = ((4, "<i8"), (5, "<i4"), (6, "<i8")) if at_all[lo] == 0 else ((4, "<i8"), (5, "<f4"))
-                    pieces[at_all[lo]].append([np.frombuffer(b"".join(one.column(k).to_pylist()), t) for k, t in kinds])
+                    got[at_all[lo]].extend(zip(*(one.column(k).to_pylist() for k in ((4, 5, 6) if at_all[lo] == 0 else (4, 5))), strict=True))
                     continue
-                if h is None:
-                    h, g, c = (np.concatenate(x) for x in zip(*pieces[0], strict=True))
-                    order = np.lexsort((g, h))
-                    h, g, c = h[order], g[order], c[order]
-                    codes, logs_at = (np.concatenate(x) for x in zip(*pieces[1], strict=True)) if pieces[1] else (np.zeros(0, np.int64), np.zeros(0, np.float32))
-                    order = np.argsort(codes, kind="stable")
-                    codes, logs_at = codes[order], logs_at[order]
-                    pieces = ([], [])
-                low = [t.encode().lower() for t in texts_of(one.column(3))]
-                split_up = [[*t.split(), END] for t in low]
-                flat = [w for s in split_up for w in s]
-                # The words of this slice alone: a table of all of a part's words would take more memory than all else here.
-                table = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-                fh, fg = word_hash(list(table))
-                k = np.searchsorted(h, fh, "left")
-                while (miss := (h[k] == fh) & (g[k] != fg)).any():
-                    k = k + miss
-                if not ((h[k] == fh) & (g[k] == fg)).all():
-                    raise RuntimeError("a part lacks one of its own words")
-                logs, known = np.log10(c[k] + 1.0) - unit, c[k] > 0
-                seen, where = np.unique(grams(low, depth), return_inverse=True)
-                k = np.searchsorted(codes, seen)
-                if not (codes[k] == seen).all():
-                    raise RuntimeError("a part lacks one of its own grams")
-                sums = np.append(0.0, np.cumsum(logs_at[k].astype(float)[where]))
-                stops = np.cumsum([len(t) for t in low])
-                scores = sums[stops] - sums[np.append(0, stops[:-1])]
-                n = np.array([len(s) for s in split_up], np.int64)
-                at = np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))
-                starts = np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays(
-                    [one.column(2), pa.array(n), pa.array(np.add.reduceat(known[at].astype(np.int64), starts)), pa.array(np.full(len(n), n_all)), pa.array(np.add.reduceat(logs[at], starts)), pa.array(scores)], names=names
-                )
+                if held is None:
+                    held, got = Answers(*got, unit), ([], [])
+                n, known, base, model = held.score([t.encode().lower() for t in texts_of(one.column(3))], depth)
+                yield pa.RecordBatch.from_arrays([one.column(2), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(model)], names=names)
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = score(docs, crc_mod("doc_id", 7) != 2, depth=DEPTH)
+    out = score(docs, crc_mod("doc_id", 7) != 2)
     return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

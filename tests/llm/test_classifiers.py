@@ -8,6 +8,7 @@ import pytest
 
 from cellweave.llm import langid, ppm, quality_classifier, quality_rules
 from cellweave.llm.runtime import crc_mod, read
+from tests.llm.slow_model import slow_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -136,33 +137,6 @@ def base_scores(rows):
     return {k: (len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for k, t in tokens.items()}
 
 
-def slow_ppm(train, text, depth=3):
-    """Prediction by partial matching with exclusion, byte by byte, from counts in dictionaries."""
-    tables = [dict() for _ in range(depth + 1)]
-    for t in train:
-        s = b"\0\0\0" + t
-        for k in range(3, len(s)):
-            for d in range(depth + 1):
-                tables[d].setdefault(s[k - d : k], Counter())[s[k]] += 1
-    total, s = 0.0, b"\0\0\0" + text
-    for k in range(3, len(s)):
-        out, p = set(), 1.0
-        for d in range(depth, -1, -1):
-            here = {b: n for b, n in tables[d].get(s[k - d : k], {}).items() if b not in out}
-            if not here:
-                continue
-            t, q = sum(here.values()), len(here)
-            q = 0 if len(out) + q == 256 else q
-            if s[k] in here:
-                total += math.log10(p * here[s[k]] / (t + q))
-                break
-            p *= q / (t + q)
-            out |= set(here)
-        else:
-            total += math.log10(p / (256 - len(out)))
-    return total
-
-
 def check_scores(docs, rows):
     got = ppm.score(docs, crc_mod("doc_id", 7) != 2).collect()
     want = base_scores(rows)
@@ -175,10 +149,11 @@ def check_scores(docs, rows):
 def test_scores_on_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got, train = check_scores(odd, rows)
+    model = slow_model(train, ppm.DEPTH)
     for i, t in rows:
         low = (t or "").encode().lower()
         if len(low) < 500:
-            assert math.isclose(got[i, len(low.split()) + 1], slow_ppm(train, low), rel_tol=1e-4, abs_tol=1e-4), (i, t)
+            assert math.isclose(got[i, len(low.split()) + 1], model(low), rel_tol=1e-5, abs_tol=1e-5), (i, t)
     assert ppm.score(none, crc_mod("doc_id", 7) != 2).count() == 0
 
 
@@ -186,15 +161,7 @@ def test_scores_of_documents(spark, sf):
     docs = read(spark, sf, "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got, train = check_scores(docs, rows)
-    short = sorted(rows, key=lambda r: len(r[1] or ""))[:20]
-    assert all(math.isclose(got[i, len((t or "").split()) + 1], slow_ppm(train, (t or "").encode().lower()), rel_tol=1e-4, abs_tol=1e-4) for i, t in short if (t or "").isascii())
+    model = slow_model(train, ppm.DEPTH)
+    short = sorted(rows, key=lambda r: len(r[1] or ""))[:20] + rows[:10]
+    assert all(math.isclose(got[i, len((t or "").encode().lower().split()) + 1], model((t or "").encode().lower()), rel_tol=1e-5, abs_tol=1e-4) for i, t in short)
     assert ppm.query(spark, sf).columns[:2] == ["doc_id", "held_out"]
-
-
-def test_trie_rows_are_distributions():
-    rng = np.random.default_rng(5)
-    texts = [bytes(rng.integers(0, 256, 3000).astype(np.uint8)) for _ in range(3)] + [b"abracadabra" * 40]
-    code, n = np.unique(ppm.grams(texts), return_counts=True)
-    third, at = np.unique(code & 0xFFFFFF, return_inverse=True)
-    trie = ppm.Trie((third, np.bincount(at, n)), (code, n))
-    assert np.allclose((10.0 ** trie.log.astype(float)).sum(1), 1, atol=1e-5)
