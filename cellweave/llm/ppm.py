@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import crc_mod, materialise, read, remove, ship_package, slices, texts_of
+from cellweave.llm.runtime import crc_mod, materialise, read, release, remove, ship_package, slices, texts_of
 
 #: Bytes of the longest context that the query learns.
 DEPTH = 5
@@ -440,12 +440,16 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     parts = materialise(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), part.alias("part"), F.coalesce(train, F.lit(False)).alias("train")), "parts")
     n_parts = int(parts.agg(F.coalesce(F.max("part") + 1, F.lit(1))).first()[0])
     gathered = materialise(gather(parts, depth, n_parts), "gathered")
+    release(spark)
     sums = materialise(summed(gathered, n_parts), "sums")
     n_all, v_all = (int(x) for x in sums.agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("to"))), F.lit(0)) for k in (2, 3))).first())
+    release(spark)
     groups = materialise(grouped(sums, n_parts, depth), "groups")
+    release(spark)
     logs_of = materialise(answers(gathered, groups, fit(groups, depth), n_parts, depth), "answers")
     for df in (gathered, groups):
         remove(spark, df.scratch)
+    release(spark)
     none = lambda t: F.lit(None).cast(t)
     rows = sums.where("kind = 0").select(F.col("to").alias("part"), F.lit(0).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", "n")
     rows = rows.unionByName(logs_of.select("part", F.lit(1).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", none("binary").alias("n")))
