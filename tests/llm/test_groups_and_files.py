@@ -65,7 +65,16 @@ def test_links_of_odd_rows(odd, none):
     assert linked(simhash.link(odd)) == brute_components(items)
     assert simhash.link(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
     kept = [r["doc_id"] for r in simhash.drop_near_duplicates(odd).collect()]
-    assert kept.count(None) == 2 and kept.count(2) == 0 and kept.count(1) == 1
+    assert kept.count(None) == 1 and kept.count(2) == 0 and kept.count(1) == 1 and len(kept) == len({c or f for _, f, c in brute_components(items)})
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    """Rows of one id with unrelated texts are rows like any other, and the result does not change when run again."""
+    a, b = "the quick brown fox jumps over the lazy dog " * 3, "completely different words stand here in a row of their own " * 3
+    for rows, want in (([(5, a), (5, b)], [(5, a), (5, b)]), ([(5, a), (5, b), (3, b)], [(3, b), (5, a)]), ([(None, a), (None, a), (4, a), (None, b)], [(-1, b), (4, a)])):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        for _ in range(2):
+            assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs).collect()) == sorted(want)
 
 
 @pytest.mark.parametrize("size", [2, 3, 4])
@@ -105,6 +114,32 @@ def test_forest_connects_what_links_connect(limit):
     assert {(k, root(k)) for k in range(len(fps))} == components_by_pairs(fps)
 
 
+def test_long_lists_are_sieved():
+    """Lists that agree in four bytes and are too long to compare all pairs: few links among many, and a dense group."""
+    rng = np.random.default_rng(8)
+    wide = np.unique(np.uint64(0x1122334400000000) | rng.integers(0, 1 << 20, 3000).astype(np.uint64))
+    base = int(rng.integers(0, 1 << 62))
+    dense = np.unique(np.array([flips(rng, base, int(rng.integers(0, 4))) for _ in range(400)], np.uint64))
+    for fps, limit in ((wide, 100), (dense, 50)):
+        edges = simhash.forest(fps, limit)
+        assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= 4 for a, b in edges) and len(edges) < len(fps)
+        near = [(a, b) for a in range(len(fps)) for b in a + 1 + np.flatnonzero(np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= 4)]
+        assert len(edges) == len(simhash.spanning(near)) == len(simhash.spanning(edges + near))
+
+
+@pytest.mark.parametrize("long_list", [5, 40])
+def test_long_lists_are_dealt_anew(spark, long_list):
+    rng = np.random.default_rng(6)
+    centre = int(rng.integers(0, 1 << 63))
+    fps = sorted({flips(rng, centre, int(rng.integers(0, 9))) for _ in range(300)} | {int(rng.integers(0, 1 << 63)) for _ in range(300)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    roots = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in simhash.components(simhash.edges_of(df, 2, long_list)).collect()}
+    groups = {}
+    for k, f in enumerate(fps):
+        groups.setdefault(roots.get(f, f), []).append(k)
+    assert {(k, min(g)) for g in groups.values() for k in g} == components_by_pairs(fps)
+
+
 @pytest.mark.parametrize("size", [2, 3, 4])
 def test_index_finds_all_links(spark, size):
     rng = np.random.default_rng(4)

@@ -1,8 +1,9 @@
 import corpus_pipeline
 import public_tokenizers
 
-from cellweave.llm import packing, quality_classifier, quality_rules, simhash
+from cellweave.llm import packing, quality_classifier, quality_rules
 from cellweave.llm.runtime import read
+from tests.llm.test_similar import brute_groups
 
 
 def test_stages(spark, sf):
@@ -15,7 +16,8 @@ def test_stages(spark, sf):
     passed = {r["doc_id"] for r in quality_rules.apply_rules(kept, quality_rules.learn(docs, labels)).collect() if r["kept"]}
     ruled = corpus_pipeline.ruled(spark, kept, sf)
     assert ruled.columns == columns and {r["doc_id"] for r in ruled.collect()} == passed
-    single = {r["component_id"] for r in simhash.link(ruled).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in ruled.collect()]
+    single = [min(rows[k][0] for k in group) for group in brute_groups([t for _, t in rows])]
     last = corpus_pipeline.deduplicated(spark, ruled, sf)
     assert last.columns == columns and sorted(r["doc_id"] for r in last.collect()) == sorted(single)
     ids = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -63,3 +63,43 @@ def test_rows_of_repeated_and_null_ids(spark, odd, none):
     texts = [r["text"] for r in odd.collect()]
     assert kept.columns == odd.columns and kept.count() == len(brute_groups(texts))
     assert simhash.drop_similar(none).count() == 0
+
+
+def hard_cases():
+    """Groups around the threshold: copies cut or longer by a part, chains, a passage of most documents, a template with short fillings."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(40):  # the passage is a fifth to nearly all of the document
+        own = [word() for _ in range(rng.choice((4, 6, 8, 10, 15, 30, 200)))]
+        texts.append(own[: len(own) // 2] + passage + own[len(own) // 2 :])
+    for _ in range(8):  # subsets of one text, sizes close to the limit
+        base = [word() for _ in range(100)]
+        texts += [base, base[: rng.randrange(74, 90)], base[rng.randrange(8, 24) :], base + [word() for _ in range(rng.randrange(12, 32))]]
+    for _ in range(4):  # chains: each link changes some words, the ends are far apart
+        now = [word() for _ in range(80)]
+        for _ in range(12):
+            texts.append(list(now))
+            for _ in range(rng.choice((1, 2, 3))):
+                now[rng.randrange(len(now))] = word()
+    template = [word() for _ in range(40)]
+    for _ in range(40):
+        texts.append(template[:20] + [word()] + template[20:])
+    texts += [["a"] * n for n in (4, 5, 6, 50)] + [[w] for w in "xyz"] * 2
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def test_no_link_is_lost_in_hard_cases(spark):
+    texts = hard_cases()
+    groups = brute_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(docs).collect()) == sorted(min(g) for g in groups)
+
+
+def test_shingles_of_long_texts_come_in_blocks(monkeypatch):
+    text = "one two three four five six seven eight nine ten " * 5
+    whole = simhash.shingle_hashes(text, 5).tolist()
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert simhash.shingle_hashes(text, 5).tolist() == whole and len(whole) == 46
