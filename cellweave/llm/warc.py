@@ -3,10 +3,15 @@
 Reading: one partition per archive file.  Filters on record_type, record_id, target_uri and payload_digest are pushed down.
 Every gzip member carries its own compressed length in an extra field, so a record is judged after its headers alone have been
 inflated and, if unwanted, is stepped over without decoding its payload; option payload=false steps over all payloads.
-Archives without that field, and plain .warc files, are read too.
+Archives without that field, and plain .warc files, are read too, unwanted payloads without being kept.
 
-Writing: each task writes one archive into a _temporary folder; the driver moves those of the committed attempts into place, so what a
-lost executor leaves behind is never read.
+Writing: each task writes one archive into a folder of its job under _temporary; the driver moves those of the committed attempts into
+place and then names them in a file under _commits, so what a lost executor or driver leaves behind is never read.  In a folder that has
+_commits, only the archives named there are read; in any other, all.
+
+Damaged archives: a record that is cut off, does not inflate, or has no readable header ends its archive, as nothing tells where the
+next one starts; what precedes it is returned.  A gzip member whose record has no valid Content-Length, or less than that, is left out.
+With option mode=failfast each of these is an error.
 
 Null payloads are empty, null URLs give no WARC-Target-URI.  Rows that repeat give a record each.  A null page id is written as an empty
 number and read back as null.
@@ -15,6 +20,7 @@ number and read back as null.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 import sys
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from cellweave.llm.runtime import read, shared_dir, ship_package
+from cellweave.llm.runtime import materialise, read, shared_dir, ship_package
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 #: Payloads of at least so many bytes are stored once.
@@ -81,7 +87,7 @@ def headers(block: bytes) -> dict[str, str]:
 def fields(head: dict[str, str]) -> dict:
     digest = head.get("warc-payload-digest", "")
     algorithm, _, code = digest.partition(":")
-    if algorithm.lower() == "sha1" and len(code) == 32:
+    if algorithm.lower() == "sha1" and re.fullmatch("[A-Za-z2-7]{32}", code):
         digest = base64.b32decode(code.upper()).hex()
     bare = lambda k: head[k].strip("<>") if k in head else None
     return {"record_id": bare("warc-record-id"), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "payload_digest": digest or None, "refers_to": bare("warc-refers-to")}
@@ -95,46 +101,131 @@ def wanted(got: dict, filters: tuple) -> bool:
     return True
 
 
-def records(data, size: int, filters: tuple = (), payload: bool = True) -> Iterator[dict]:
-    """Records of an archive opened for random access: headers first, the rest only if wanted."""
-    at = 0
-    while at < size:
-        data.seek(at)
-        first = data.read(min(4096, size - at))
-        if first[:2] == b"\x1f\x8b":
-            length = struct.unpack_from("<I", first, 16)[0] if first[3] & 4 and first[12:14] == b"LX" else None
-            inflate = zlib.decompressobj(31)
-            block, fed = inflate.decompress(first), len(first)
-            more = lambda: data.read(1 << 18)
-            while b"\r\n\r\n" not in block and not inflate.eof and (piece := more()):
-                block += inflate.decompress(piece)
-                fed += len(piece)
-            head, _, rest = block.partition(b"\r\n\r\n")
-            got = fields(raw := headers(head))
-            take = wanted(got, filters)
-            need = int(raw.get("content-length", 0))
-            if take and payload or length is None:
-                parts = [rest]
-                while not inflate.eof and (piece := more()):
-                    parts.append(inflate.decompress(piece))
-                    fed += len(piece)
-                rest = b"".join(parts)
-            at = at + length if length is not None else at + fed - len(inflate.unused_data)
+class Damaged(ValueError):
+    """A record that cannot be read, so that what follows it cannot be found."""
+
+
+class Ahead:
+    """An archive's bytes in order; what was read too far is kept."""
+
+    def __init__(self, data, size: int):
+        self.data, self.size, self.at, self.held = data, size, 0, b""
+
+    def take(self, n: int = 1 << 18) -> bytes:
+        """The next bytes, n at most; none at the end."""
+        if not self.held:
+            self.held = self.data.read(max(0, min(n, self.size - self.at)))
+        out, self.held = self.held[:n], self.held[n:]
+        self.at += len(out)
+        return out
+
+    def back(self, rest: bytes) -> None:
+        self.held, self.at = rest + self.held, self.at - len(rest)
+
+    def go(self, at: int) -> None:
+        """Go to an offset, which may lie in what is held."""
+        if 0 <= at - self.at <= len(self.held):
+            self.held = self.held[at - self.at :]
         else:
-            while b"\r\n\r\n" not in first and (piece := data.read(4096)):
-                first += piece
-            head, _, rest = first.partition(b"\r\n\r\n")
-            got = fields(raw := headers(head))
-            need, take = int(raw.get("content-length", 0)), wanted(got, filters)
-            if take and payload and len(rest) < need:
-                rest += data.read(need - len(rest))
-            at += len(head) + 4 + need + 4
-        if take:
-            http, _, body = rest[:need].partition(b"\r\n\r\n")
-            declared = headers(http).get("content-length")
-            got["payload_bytes"] = int(declared) if declared and declared.isdigit() else len(body)
-            got["payload"] = body if payload else None
-            yield got
+            self.held = b""
+            self.data.seek(at)
+        self.at = at
+
+
+#: A record's header lines are no longer than this.
+HEAD_BYTES = 1 << 20
+
+
+def _length(raw: dict[str, str]) -> int | None:
+    value = raw.get("content-length", "")
+    return int(value) if re.fullmatch("[0-9]{1,18}", value) else None
+
+
+def _zipped(ahead: Ahead, first: bytes, filters: tuple, payload: bool) -> tuple[dict | None, bytes, int]:
+    """Fields (None if not wanted), content and its declared length of a gzip member that starts with `first`; goes on behind it."""
+    start = ahead.at - len(first)
+    length = struct.unpack_from("<I", first, 16)[0] if len(first) >= 20 and first[3] & 4 and first[12:14] == b"LX" else None
+    if length is not None and not 0 < length <= ahead.size - start:
+        raise Damaged(f"a member at {start} is cut off")
+    inflate = zlib.decompressobj(31)
+    block, one = inflate.decompress(first), True
+    while b"\r\n\r\n" not in block and not inflate.eof:
+        piece = ahead.take()
+        if not piece or len(block) > HEAD_BYTES:
+            raise Damaged(f"the header at {start} has no end")
+        block, one = block + inflate.decompress(piece), False
+    head, found, rest = block.partition(b"\r\n\r\n")
+    got = fields(raw := headers(head))
+    need = _length(raw) if found else None
+    keep = need is not None and wanted(got, filters)
+    if length is None or keep and payload:
+        parts, size = [rest], len(rest)
+        while not inflate.eof:
+            piece = ahead.take()
+            if not piece:
+                raise Damaged(f"a member at {start} is cut off")
+            out = inflate.decompress(piece)
+            size += len(out)
+            if keep and (payload or size < HEAD_BYTES):
+                parts.append(out)
+        ahead.back(inflate.unused_data)
+        if need is not None and size < need:
+            need = None
+        rest = b"".join(parts)
+    elif one:
+        ahead.back(first)
+    if length is not None:
+        ahead.go(start + length)
+    if need is None:
+        return {}, b"", 0
+    return (got if keep else None), rest[:need], need
+
+
+def _plain(ahead: Ahead, first: bytes, filters: tuple, payload: bool) -> tuple[dict | None, bytes, int]:
+    start = ahead.at - len(first)
+    while b"\r\n\r\n" not in first:
+        piece = ahead.take(4096)
+        if not piece or len(first) > HEAD_BYTES:
+            raise Damaged(f"the header at {start} has no end")
+        first += piece
+    head, _, rest = first.partition(b"\r\n\r\n")
+    got = fields(raw := headers(head))
+    need, body = _length(raw), start + len(head) + 4
+    if need is None or body + need > ahead.size:
+        raise Damaged(f"the record at {start} has no valid length or is cut off")
+    keep = wanted(got, filters)
+    if keep and payload:
+        parts, size = [rest], len(rest)
+        while size < need:
+            parts.append(ahead.take(min(need - size, 1 << 20)))
+            size += len(parts[-1])
+        rest = b"".join(parts)
+    ahead.back(rest[need:])
+    ahead.go(min(body + need + 4, ahead.size))
+    return (got if keep else None), rest[:need], need
+
+
+def records(data, size: int, filters: tuple = (), payload: bool = True, strict: bool = False) -> Iterator[dict]:
+    """Records of an archive opened for random access: headers first, the rest only if wanted.  strict: damage is an error."""
+    ahead = Ahead(data, size)
+    while first := ahead.take(4096):
+        while len(first) < 24 and (more := ahead.take(4096)):
+            first += more
+        try:
+            got, content, _ = (_zipped if first[:2] == b"\x1f\x8b" else _plain)(ahead, first, filters, payload)
+        except (Damaged, zlib.error) as e:
+            if strict:
+                raise Damaged(str(e)) from e
+            return
+        if got == {} and strict:
+            raise Damaged(f"a record before {ahead.at} has no valid length")
+        if not got:
+            continue
+        http, _, body = content.partition(b"\r\n\r\n")
+        declared = headers(http).get("content-length", "")
+        got["payload_bytes"] = int(declared) if re.fullmatch("[0-9]{1,18}", declared) else len(body)
+        got["payload"] = body if payload else None
+        yield got
 
 
 @dataclass
@@ -148,8 +239,8 @@ class Archive(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool):
-        self.root, self.payload, self.filters = path, payload, ()
+    def __init__(self, path: str, payload: bool, strict: bool = False):
+        self.root, self.payload, self.strict, self.filters = path, payload, strict, ()
 
     def pushFilters(self, filters):
         """Take over equality, membership and prefixes of the header columns; give back the rest."""
@@ -168,7 +259,13 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = _fs(self.root)
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if store.get_file_info(root).type != fs.FileType.File else [store.get_file_info(root)]
+        if store.get_file_info(root).type == fs.FileType.File:
+            found = [store.get_file_info(root)]
+        else:
+            found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            if store.get_file_info(f"{root}/_commits").type == fs.FileType.Directory:
+                named = {n for c in store.get_file_info(fs.FileSelector(f"{root}/_commits")) if c.path.endswith(".json") for n in json.loads(store.open_input_file(c.path).read())}
+                found = [f for f in found if f.base_name in named]
         return [Archive(f.path, f.size) for f in sorted(found, key=lambda f: f.path) if f.is_file and re.search(r"\.warc(\.gz)?$", f.path)]
 
     def read(self, partition):
@@ -183,7 +280,7 @@ class WarcReader(DataSourceReader):
         if partition is None:
             return
         with store.open_input_file(partition.path) as data:
-            for r in records(data, partition.size, self.filters, self.payload):
+            for r in records(data, partition.size, self.filters, self.payload, self.strict):
                 rows.append(r)
                 held += len(r["payload"] or b"") + 300
                 if held > 4 << 20:
@@ -208,7 +305,7 @@ class WarcWriter(DataSourceArrowWriter):
 
         store, root = _fs(self.root)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
+        name = f"part-{self.job}-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         store.create_dir(f"{root}/_temporary/{self.job}", recursive=True)
         n = 0
         with store.open_output_stream(f"{root}/_temporary/{self.job}/{name}", compression=None, buffer_size=1 << 20) as out:
@@ -220,20 +317,26 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         store, root = _fs(self.root)
-        for m in messages:
-            if m is not None and m.records:
-                store.move(f"{root}/_temporary/{self.job}/{m.name}", f"{root}/{m.name}")
+        store.create_dir(f"{root}/_commits", recursive=True)
+        names = [m.name for m in messages if m is not None and m.records]
+        for name in names:
+            store.move(f"{root}/_temporary/{self.job}/{name}", f"{root}/{name}")
+        draft = f"{root}/_commits/{self.job}.draft"
+        with store.open_output_stream(draft) as out:
+            out.write(json.dumps(names).encode())
+        store.move(draft, f"{root}/_commits/{self.job}.json")
         self.clean()
 
     def abort(self, messages):
         self.clean()
 
     def clean(self):
+        """Delete this job's folder; other jobs may be writing to theirs."""
         from pyarrow import fs
 
         store, root = _fs(self.root)
-        if store.get_file_info(f"{root}/_temporary").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/_temporary")
+        if store.get_file_info(f"{root}/_temporary/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/_temporary/{self.job}")
 
 
 class WarcDataSource(DataSource):
@@ -245,7 +348,7 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false", self.options.get("mode", "").lower() == "failfast")
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options["path"])
@@ -261,11 +364,16 @@ def register(spark: SparkSession) -> None:
 
 def to_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Pages (page_id, url, html) as records: of equal payloads of `least` bytes or more the page with the largest id is the response,
-    the others revisit it.  Rows with that same id are responses too; where no page of a group has an id, all are."""
+    the others revisit it.  Rows with that same id are responses too; where no page of a group has an id, all are.
+
+    Only digests and ids are shuffled to find the groups, which are written.  Smaller payloads take no part in the join, and as both
+    its sides are plain exchanges, Spark can split the part of a page that is there very often.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     full = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    groups = full.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    both = full.join(groups, "payload_digest", "left")
+    large, small = full.where(F.col("payload_bytes") >= least), full.where(F.col("payload_bytes") < least)
+    groups = large.groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
+    both = large.join(materialise(groups, "groups"), "payload_digest", "left").unionByName(small.withColumn("first_id", F.lit(None).cast(pages.schema["page_id"].dataType)))
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     named = lambda c: F.concat(F.lit(_ID), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return both.select(
