@@ -5,9 +5,14 @@ FANOUT times the one below).  Compaction takes the tiers that hold FANOUT shards
 coalesces them, without a shuffle, into files of about the target size: shards of one tier are of similar size, so equal numbers
 of them make files of similar size.  Shards at the target size are left alone.
 
-A manifest names the shards of a version with rows and bytes.  A new version is written beside and renamed into place only if that
-version is still free, so of two writers one fails and can retry; readers see whole versions only, and files that no manifest names
-(of a lost task or failed job) are never read.
+A manifest names the parts that list the shards of a version, with rows and bytes.  A commit adds a part with its new shards and
+rewrites only those parts that name a shard that goes; parts are joined where a version has over PARTS of them, smallest first.  A new version is
+written beside and renamed into place only if that version is still free.  A writer that finds it taken reads the newer version and tries again with
+the files that it has written; a compaction tries again if its shards are all still there, else it raises Conflict.  Readers see whole versions
+only, and files that no manifest names (of a lost task or failed job) are never read.
+
+A shard's folder has the number of the commit that it was written for, the kind of work and its tier, and its files the number of their
+task, so its name in `ShardStore.shard_name()` is the same whenever the same arrivals come in the same order.
 
 Columns and rows are kept as they are, nulls, empty tables and repeated rows included.
 """
@@ -16,10 +21,11 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.runtime import read, remove, shared_dir
@@ -27,6 +33,9 @@ from cellweave.llm.runtime import read, remove, shared_dir
 FANOUT = 4
 SMALLEST = 1 << 20
 TARGET_BYTES = 128 << 20
+#: Parts of a manifest above which they are joined, and how often a commit is tried.
+PARTS = 64
+TRIES = 20
 
 
 class Conflict(RuntimeError):
@@ -65,56 +74,97 @@ class ShardStore:
     def version(self) -> int:
         """The newest version; 0 before the first commit."""
         names = [s.getPath().getName() for s in self._list("manifests")]
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+        return max((int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n)), default=0)
 
-    def manifest(self, version: int | None = None) -> dict:
-        v = self.version() if version is None else version
-        if v == 0:
-            return {"version": 0, "schema": None, "shards": []}
-        fs = self._path("").getFileSystem(self._conf)
-        stream = fs.open(self._path(f"manifests/{v:08d}.json"))
+    def _text(self, name: str) -> str:
+        stream = self._path("").getFileSystem(self._conf).open(self._path(name))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        got = json.loads(text)
-        return got | {"shards": [Shard(**s) for s in got["shards"]]}
 
-    def commit(self, base: int, schema: str, shards: list[Shard]) -> int:
-        """Version base + 1, if it is still free."""
-        fs = self._path("").getFileSystem(self._conf)
-        draft = self._path(f"manifests/draft-{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
+    def _put(self, name: str, text: str) -> None:
+        out = self._path("").getFileSystem(self._conf).create(self._path(name), False)
         try:
-            out.write(bytearray(json.dumps({"version": base + 1, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
-        options = self._jvm.org.apache.hadoop.fs.Options
-        none = self.spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
-        none[0] = getattr(options, "Rename").NONE
+
+    def head(self, version: int | None = None) -> dict:
+        """version, schema, and the parts of a version with the number of shards that each lists."""
+        v = self.version() if version is None else version
+        return json.loads(self._text(f"manifests/{v:08d}.json")) if v else {"version": 0, "schema": None, "parts": []}
+
+    def _shards(self, part: str) -> list[Shard]:
+        return [Shard(*x) for x in json.loads(self._text(f"manifests/{part}"))]
+
+    def manifest(self, version: int | None = None) -> dict:
+        """version, schema and all shards of a version."""
+        got = self.head(version)
+        return {"version": got["version"], "schema": got["schema"], "shards": [s for p, _ in got["parts"] for s in self._shards(p)]}
+
+    def _part(self, shards: list[Shard]) -> list:
+        name = f"part-{uuid.uuid4().hex}.json"
+        self._put(f"manifests/{name}", json.dumps([[s.path, s.rows, s.bytes, s.tier] for s in shards]))
+        return [name, len(shards)]
+
+    def _publish(self, version: int, schema: str, parts: list) -> int:
+        """Rename a manifest into place, if this version is still free."""
+        draft = f"manifests/draft-{uuid.uuid4().hex}"
+        self._put(draft, json.dumps({"version": version, "schema": schema, "parts": parts}))
+        options = getattr(self._jvm.org.apache.hadoop.fs.Options, "Rename")
+        none = self.spark.sparkContext._gateway.new_array(options, 1)
+        none[0] = options.NONE
         try:
-            self._context().rename(draft, self._path(f"manifests/{base + 1:08d}.json"), none)
+            self._context().rename(self._path(draft), self._path(f"manifests/{version:08d}.json"), none)
         except Exception as e:
-            fs.delete(draft, False)
+            self._path("").getFileSystem(self._conf).delete(self._path(draft), False)
             if "FileAlreadyExists" in str(e):
-                raise Conflict(f"version {base + 1} exists") from e
+                raise Conflict(f"version {version} exists") from e
             raise
-        return base + 1
-
-    def _write(self, df: DataFrame) -> list[Shard]:
-        """Write df into a folder of its own and list its files, with rows counted from their footers."""
-        folder = f"data/{uuid.uuid4().hex}"
+        return version
+
+    def commit(self, base: int, schema: str, new: list[Shard], gone: frozenset[str] = frozenset()) -> int:
+        """Version base + 1, if it is still free: that of base without the shards in `gone` and with the new ones."""
+        parts, left, missing = [], [], set(gone)
+        for name, n in self.head(base)["parts"] if base else []:
+            shards = self._shards(name) if gone else []
+            if any(s.path in gone for s in shards):
+                missing -= {s.path for s in shards}
+                left += [s for s in shards if s.path not in gone]
+            else:
+                parts.append([name, n])
+        if missing:
+            raise Conflict(f"{len(missing)} shards are no longer in version {base}")
+        if len(parts) > PARTS:
+            parts.sort(key=lambda p: p[1])
+            left += [s for name, _ in parts[: PARTS // 2] for s in self._shards(name)]
+            parts = parts[PARTS // 2 :]
+        return self._publish(base + 1, schema, [*parts, *([self._part(left + new)] if left or new else [])])
+
+    def _retried(self, schema: str, new: list[Shard], gone: frozenset[str] = frozenset()) -> int:
+        for _ in range(TRIES - 1):
+            try:
+                return self.commit(self.version(), schema, new, gone)
+            except Conflict:
+                if not gone <= {s.path for s in self.manifest()["shards"]}:
+                    raise
+        return self.commit(self.version(), schema, new, gone)
+
+    def _write(self, df: DataFrame, label: str) -> list[Shard]:
+        """Write df into a folder of its own and list its files; their rows are counted in tasks, from the files' footers."""
+        folder = f"data/{label}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
         sizes = {s.getPath().getName(): int(s.getLen()) for s in self._list(folder) if s.getPath().getName().endswith(".parquet")}
         if not sizes:
             return []
         back = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
         rows = {r["name"]: r["n"] for r in back.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n")).collect()}
-        return [Shard(f"{folder}/{name}", rows.get(name, 0), size, tier_of(size, self.smallest, self.fanout)) for name, size in sorted(sizes.items()) if rows.get(name, 0)]
+        return [Shard(f"{folder}/{name}", rows[name], size, tier_of(size, self.smallest, self.fanout)) for name, size in sorted(sizes.items()) if rows.get(name, 0)]
 
     def append(self, df: DataFrame) -> int:
-        base = self.manifest()
-        return self.commit(base["version"], df.schema.json(), base["shards"] + self._write(df))
+        shards = self._write(df, f"{self.version() + 1:08d}-arrival")
+        return self._retried(df.schema.json(), shards)
 
     def compact(self) -> int:
         """One round over all tiers that hold enough shards below the target; the same version if there is nothing to do."""
@@ -124,25 +174,32 @@ class ShardStore:
             if s.bytes < self.target // 2:
                 small.setdefault(s.tier, []).append(s)
         made, gone = [], set()
-        for shards in small.values():
+        for tier, shards in sorted(small.items()):
             if len(shards) < self.fanout:
                 continue
             files = max(1, round(sum(s.bytes for s in shards) / self.target))
             if files >= len(shards):
                 continue
-            made += self._write(self._frame(base["schema"], shards).coalesce(files))
+            made += self._write(self._frame(base["schema"], shards).coalesce(files), f"{base['version'] + 1:08d}-tier{tier}")
             gone |= {s.path for s in shards}
         if not gone:
             return base["version"]
-        return self.commit(base["version"], base["schema"], [s for s in base["shards"] if s.path not in gone] + made)
+        return self._retried(base["schema"], made, frozenset(gone))
+
+    @staticmethod
+    def shard_name(file_path: Column) -> Column:
+        """Commit, kind, tier and task of a shard, from the path of its file."""
+        return F.regexp_replace(file_path, r"^.*/(\d{8}-[a-z0-9]+)-[0-9a-f]+/part-(\d+)-.*$", "$1-$2")
 
     def _frame(self, schema: str, shards: list[Shard]) -> DataFrame:
         from pyspark.sql.types import StructType
 
-        kind = StructType.fromJson(json.loads(schema))
         if not shards:
-            return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(*(f"{self.root}/{s.path}" for s in shards))
+            return self.spark.createDataFrame([], StructType.fromJson(json.loads(schema)))
+        # All paths in one call to the JVM, however many they are.
+        paths = self._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(f"{self.root}/{s.path}" for s in shards))
+        session = self.spark._jsparkSession
+        return DataFrame(session.read().schema(session.parseDataType(schema)).parquet(paths), self.spark)
 
     def read(self, version: int | None = None) -> DataFrame:
         got = self.manifest(version)
@@ -178,6 +235,6 @@ def query(spark, sf_dir: str, arrivals: int = 4) -> DataFrame:
         "source",
         "n_chars",
         F.lit(store.version()).cast("long").alias("manifest_version"),
-        F.col("_metadata.file_name").alias("shard"),
+        store.shard_name(F.col("_metadata.file_path")).alias("shard"),
         F.col("_metadata.file_size").alias("shard_bytes"),
     )
