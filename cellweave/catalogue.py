@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions.index import block_start, block_stop
+from cellweave.functions.index import (
+    assemble_slices, between, block_start, block_stop, filtered_range_index, index_filter, intersection, partition_intersection, range_index, slice_shape, slice_volume, start_index, stop_index, worker_layout,
+)
 from cellweave.operators import conv as C
 from cellweave.operators import interp as U
 from cellweave.operators import linear as L
@@ -22,8 +24,8 @@ from cellweave.operators import norm as N
 from cellweave.operators import pool as K
 from cellweave.operators import team as W
 from cellweave.plans.geometry import Window, halos, windows
-from cellweave.plans.partition import CartesianPartition, grid_of
-from cellweave.schema import grid, index_columns
+from cellweave.plans.partition import CartesianPartition, Partition, grid_of
+from cellweave.schema import DTYPES, grid, index_columns, zero_volume
 from cellweave.sources import tensors as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -564,8 +566,9 @@ for _kind, (_form, _grad) in _LOSS.items():
             continue
         _q = (lambda k, r: lambda spark, d: rounded(S.loss(_pair(spark, d), k, r)))(_kind, _red)
         add(f"loss_{_kind}_{_red}", _q, f"WITH {_PAIR} SELECT " + (f"i0, i1, i2, i3, round({_form}, 6) + 0.0 AS v FROM p" if _agg is None else f"round({_agg.format(_form)}, 6) + 0.0 AS v FROM p"))
-    # Gradients of the sum; of a mean it is the same over the number of cells.
-    add(f"loss_{_kind}_grad", (lambda k: lambda spark, d: rounded(S.gradient(_pair(spark, d).where("v > 0"), k, "mean", E_SHAPE, 3600.0)))(_kind), f"WITH {_PAIR} SELECT i0, i1, i2, i3, round({_grad}, 6) + 0.0 AS v FROM p WHERE x > 0")
+    # Gradients of the mean, with an upstream gradient of 7.  The slope of bce has no bound near 0, so there its input is 1/65536 at least.
+    _least = 1 / _SCALE if _kind == "bce" else 0.0
+    add(f"loss_{_kind}_grad", (lambda k, m: lambda spark, d: rounded(S.gradient(_pair(spark, d).withColumn("v", F.greatest("v", F.lit(m))), k, "mean", E_SHAPE, 7.0)))(_kind, _least), f"WITH {_PAIR}, q AS (SELECT i0, i1, i2, i3, greatest(x, CAST({_least!r} AS DOUBLE)) AS x, y FROM p) SELECT i0, i1, i2, i3, round(({_grad}) * 7 / 3600, 6) + 0.0 AS v FROM q")
 
 # Adjoint identities: <F x, y> and <x, F* y> as two columns of one row ---------------------------------------------------------
 
@@ -698,7 +701,7 @@ def _worker_vectors(spark, sf_dir):
 
 
 _VEC = f"v AS (SELECT {own('i0', NX, 4)} AS rank, count(*) AS a, min(i0) AS b, max(i0) + 1 AS c FROM x GROUP BY 1)"
-add("all_gather", lambda spark, d: W.all_gather(_worker_vectors(spark, d)).select("rank", F.posexplode("gathered").alias("p", "g")).select("rank", F.col("p").cast("long").alias("source"), F.col("g")[0].alias("cells"), F.col("g")[1].alias("first"), F.col("g")[2].alias("stop")), f"WITH {X}, {_VEC} SELECT r.rank, v.rank AS source, v.a AS cells, v.b AS first, v.c AS stop FROM v r, v")
+add("all_gather", lambda spark, d: W.all_gather(_worker_vectors(spark, d), 4 * 3).select("rank", F.posexplode("gathered").alias("p", "g")).select("rank", F.col("p").cast("long").alias("source"), F.col("g")[0].alias("cells"), F.col("g")[1].alias("first"), F.col("g")[2].alias("stop")), f"WITH {X}, {_VEC} SELECT r.rank, v.rank AS source, v.a AS cells, v.b AS first, v.c AS stop FROM v r, v")
 for _op in ("sum", "min", "max"):
     add(f"all_reduce_vectors_{_op}", (lambda op: lambda spark, d: W.all_reduce_vectors(_worker_vectors(spark, d), op))(_op), f"WITH {X}, {_VEC} SELECT CAST(0 AS BIGINT) AS position, CAST({_op}(a) AS BIGINT) AS v FROM v UNION ALL SELECT 1, CAST({_op}(b) AS BIGINT) FROM v UNION ALL SELECT 2, CAST({_op}(c) AS BIGINT) FROM v")
 add("broadcast_vector", lambda spark, d: W.broadcast_vector(_worker_vectors(spark, d), 2, (0, 2, 3, 7)).select("rank", F.col("data")[0].alias("cells"), F.col("data")[1].alias("first")), f"WITH {X}, {_VEC} SELECT r.r AS rank, a AS cells, b AS first FROM v, {values([(0,), (2,), (3,), (7,)], 'r')} r WHERE v.rank = 2")
@@ -761,3 +764,130 @@ def _id_avg_pool(spark, d):
 
 
 add("adjoint_identity_avg_pool", _id_avg_pool, _id_sql(f"{_pool_y('avg')}, f AS (SELECT * FROM y)", _IDX))
+
+
+# Vectors as a batch that grows with the data -----------------------------------------------------------------------------------
+
+
+def _batch(spark, sf_dir):
+    """(i0 = vector, i1 = 0, i2 = position, v) and its shape."""
+    x = T.embeddings(spark, sf_dir).select("i0", F.lit(0).cast("long").alias("i1"), F.col("i1").alias("i2"), "v")
+    return x, (vectors(spark, sf_dir), 1, WIDTH)
+
+
+def _batch_conv(spark, sf_dir):
+    x, shape = _batch(spark, sf_dir)
+    return rounded(C.conv(x, T.kernel(spark, 2, 1, (3,)), _conv_bias(spark, 2), windows(shape, 3, 1, 1), 2))
+
+
+def _batch_pool(kind):
+    def query(spark, sf_dir):
+        x, shape = _batch(spark, sf_dir)
+        return rounded(kind(x, windows(shape, 4, 2)))
+
+    return query
+
+
+def _batch_up(spark, sf_dir):
+    x, shape = _batch(spark, sf_dir)
+    return rounded(U.upsample(x, shape, scale_factor=2))
+
+
+_BX = f"{X}, b AS (SELECT i0, CAST(0 AS BIGINT) AS i1, i1 AS i2, v FROM x)"
+add("conv1d_batch", _batch_conv, f"""
+WITH {_BX}, {_kernel_sql(2, 1, (3,))}, o AS (SELECT n.i0, o.o FROM (SELECT DISTINCT i0 FROM x) n, range({WIDTH}) o(o))
+SELECT o.i0, k.co AS i1, o.o AS i2, round(sum(coalesce(b.v, 0) * k.w) + k.co / 4.0, 6) + 0.0 AS v FROM o CROSS JOIN k LEFT JOIN b ON b.i0 = o.i0 AND b.i2 = o.o + k.t2 - 1 GROUP BY o.i0, k.co, o.o
+""")
+for _k, _f, _v in (("max", K.max_pool, "max(b.v)"), ("avg", K.avg_pool, "sum(b.v) / 4")):
+    add(f"{_k}_pool1d_batch", _batch_pool(_f), f"WITH {_BX} SELECT b.i0, b.i1, o.o AS i2, round({_v}, 6) + 0.0 AS v FROM b, range({(WIDTH - 4) // 2 + 1}) o(o) WHERE b.i2 BETWEEN o.o * 2 AND o.o * 2 + 3 GROUP BY b.i0, b.i1, o.o")
+add("upsample_batch", _batch_up, f"WITH {_BX}, {_table_sql('t2', WIDTH, 2 * WIDTH, 'linear', scale=2)} SELECT b.i0, b.i1, t2.j AS i2, round(sum(b.v * t2.w), 6) + 0.0 AS v FROM b JOIN t2 ON t2.i = b.i2 GROUP BY b.i0, b.i1, t2.j")
+
+# Algebra of teams, boxes and indices: values on the driver, as tables ------------------------------------------------------------
+
+
+def _teams(spark, sf_dir):
+    """Members of teams made from others, in order: chosen places, unions, grids; and whether teams are equal."""
+    a, b = Partition((4, 5, 6, 7, 8, 9)), Partition((2, 4, 11, 9))
+    made = {"inclusive": a.inclusive((3, 0, 4)), "union": a.union(b), "union_back": b.union(a), "cartesian": a.cartesian((2, 3)), "none": a.inclusive(()), "equal": Partition((int(a.union(a) == a), int(a == b), int(a.inclusive(range(6)) == a) + 1))}
+    return spark.createDataFrame([(name, k, r) for name, p in made.items() for k, r in enumerate(p.ranks)], "made string, place long, rank long")
+
+
+add("team_algebra", _teams, """
+WITH a AS (SELECT r - 4 AS k, r FROM range(4, 10) t(r)), b AS (SELECT * FROM (VALUES (0, 2), (1, 4), (2, 11), (3, 9)) t(k, r)),
+ab AS (SELECT k, r FROM a UNION ALL SELECT 6 + row_number() OVER (ORDER BY k) - 1, r FROM b WHERE r NOT IN (SELECT r FROM a)),
+ba AS (SELECT k, r FROM b UNION ALL SELECT 4 + row_number() OVER (ORDER BY k) - 1, r FROM a WHERE r NOT IN (SELECT r FROM b)),
+m AS (
+  SELECT 'inclusive' AS made, c.place, a.r FROM (VALUES (0, 3), (1, 0), (2, 4)) c(place, k) JOIN a ON a.k = c.k
+  UNION ALL SELECT 'union', k, r FROM ab UNION ALL SELECT 'union_back', k, r FROM ba UNION ALL SELECT 'cartesian', k, r FROM a
+  UNION ALL SELECT 'equal', * FROM (VALUES (0, 1), (1, 0), (2, 2)) t(k, r)
+)
+SELECT made, CAST(place AS BIGINT) AS place, CAST(r AS BIGINT) AS rank FROM m
+""")
+
+
+def _grid_index(spark, sf_dir):
+    """Coordinates and place of each member of a grid whose ranks are no range, and the place that the coordinates lead back to."""
+    p = CartesianPartition((7, 3, 9, 1, 5, 2), (3, 2))
+    return spark.createDataFrame([(p.ranks[k], *p.index(k), p.place(p.index(k))) for k in range(p.size)], "rank long, k0 long, k1 long, place long")
+
+
+add("grid_index", _grid_index, "SELECT CAST(r AS BIGINT) AS rank, CAST(k // 2 AS BIGINT) AS k0, CAST(k % 2 AS BIGINT) AS k1, CAST(k AS BIGINT) AS place FROM (VALUES (0, 7), (1, 3), (2, 9), (3, 1), (4, 5), (5, 2)) t(k, r)")
+
+
+def _boxes(spark, sf_dir):
+    """What each block of one grid shares with each of another: from the start of the tensor, and from the start of either block."""
+    shape, p, q = (vectors(spark, sf_dir), WIDTH), (4, 3), (3, 5)
+    rows = []
+    for r in range_index(p):
+        for s in range_index(q):
+            boxes = (start_index(p, r, shape), stop_index(p, r, shape), start_index(q, s, shape), stop_index(q, s, shape))
+            start, stop, extent = intersection(*boxes)
+            here, there = partition_intersection(p, r, q, s, shape), partition_intersection(q, s, p, r, shape)
+            if here is None:
+                rows.append((*r, *s, -1, -1, -1, -1, *extent, 0))
+                continue
+            assert slice_shape(here) == slice_shape(assemble_slices(start, stop)) == extent
+            rows.append((*r, *s, here[0].start, here[1].start, there[0].start, there[1].start, *slice_shape(here), slice_volume(here)))
+    return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("r0", "r1", "s0", "s1", "in_r0", "in_r1", "in_s0", "in_s1", "n0", "n1", "cells")))
+
+
+add("box_intersections", _boxes, f"""
+WITH b AS (
+  SELECT a.k AS r0, b.k AS r1, c.k AS s0, d.k AS s1,
+         {start("a.k", NX, 4)} AS a0, {start("a.k + 1", NX, 4)} AS z0, {start("b.k", WIDTH, 3)} AS a1, {start("b.k + 1", WIDTH, 3)} AS z1,
+         {start("c.k", NX, 3)} AS c0, {start("c.k + 1", NX, 3)} AS y0, {start("d.k", WIDTH, 5)} AS c1, {start("d.k + 1", WIDTH, 5)} AS y1
+  FROM range(4) a(k), range(3) b(k), range(3) c(k), range(5) d(k)
+), n AS (SELECT *, greatest(0, least(z0, y0) - greatest(a0, c0)) AS n0, greatest(0, least(z1, y1) - greatest(a1, c1)) AS n1 FROM b)
+SELECT r0, r1, s0, s1, CASE WHEN n0 * n1 > 0 THEN greatest(a0, c0) - a0 ELSE -1 END AS in_r0, CASE WHEN n0 * n1 > 0 THEN greatest(a1, c1) - a1 ELSE -1 END AS in_r1,
+       CASE WHEN n0 * n1 > 0 THEN greatest(a0, c0) - c0 ELSE -1 END AS in_s0, CASE WHEN n0 * n1 > 0 THEN greatest(a1, c1) - c1 ELSE -1 END AS in_s1, n0, n1, n0 * n1 AS cells
+FROM n
+""")
+
+
+def _cells_of_box(spark, sf_dir):
+    """Cells of a block's slices, by a predicate on the index that reaches the scan."""
+    shape = (vectors(spark, sf_dir), WIDTH)
+    box = assemble_slices(start_index((5, 4), (2, 1), shape), stop_index((5, 4), (2, 1), shape))
+    return rounded(T.embeddings(spark, sf_dir).where(between([F.col("i0"), F.col("i1")], box)))
+
+
+add("block_cells", _cells_of_box, f"WITH {X} SELECT i0, i1, round(v, 6) + 0.0 AS v FROM x WHERE i0 >= {start('2', NX, 5)} AND i0 < {start('3', NX, 5)} AND i1 >= {start('1', WIDTH, 4)} AND i1 < {start('2', WIDTH, 4)}")
+
+
+def _filtered(spark, sf_dir):
+    """The indices of a shape that agree with one of them in some dimensions, or in all others, and their ranks."""
+    shape, at, ranks = (3, 4, 5), (2, 1, 3), worker_layout((3, 4, 5))
+    rows = [(name, *i, ranks[i]) for name, fixed in (("in", index_filter(at, (0, 2))), ("not_in", index_filter(at, (0, 2), invert=True))) for i in filtered_range_index(shape, fixed)]
+    return spark.createDataFrame(rows, "kind string, i0 long, i1 long, i2 long, rank long")
+
+
+add("index_filters", _filtered, """
+WITH i AS (SELECT a.k AS i0, b.k AS i1, c.k AS i2, (a.k * 4 + b.k) * 5 + c.k AS rank FROM range(3) a(k), range(4) b(k), range(5) c(k))
+SELECT 'in' AS kind, * FROM i WHERE i0 = 2 AND i2 = 3 UNION ALL SELECT 'not_in', * FROM i WHERE i1 = 1
+""")
+add("zero_volume", lambda spark, d: zero_volume(spark, 3).groupBy().agg(F.count("*").alias("cells"), F.coalesce(F.max("i2") + 1, F.lit(0)).alias("extent")), "SELECT CAST(0 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS extent")
+add("element_types", lambda spark, d: spark.createDataFrame([(n, t.simpleString()) for n, t in DTYPES.items()], "name string, held_as string"), """
+SELECT * FROM (VALUES ('bool', 'boolean'), ('uint8', 'smallint'), ('int8', 'tinyint'), ('int16', 'smallint'), ('int32', 'int'), ('int64', 'bigint'), ('float16', 'float'), ('float32', 'float'), ('float64', 'double'),
+  ('complex64', 'struct<re:float,im:float>'), ('complex128', 'struct<re:double,im:double>')) t(name, held_as)
+""")
+add("transpose_alias", lambda spark, d: M.transpose(T.embeddings(spark, d), (vectors(spark, d), WIDTH), grid_of((4, 1)), grid_of((2, 2))).groupBy("rank").agg(F.count("*").alias("cells")), f"WITH {X} SELECT {rank(NX, (2, 2))} AS rank, count(*) AS cells FROM x GROUP BY 1")

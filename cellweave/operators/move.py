@@ -6,12 +6,13 @@ and the other way round.  Nothing is moved where both grids are the same.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.index import block_start, block_stop, flat_c, owner, owner_unbalanced, rank_column, start_column
+from cellweave.functions.index import block_size, block_start, block_stop, flat_c, owner, owner_unbalanced, rank_column, start_column
 from cellweave.plans.geometry import Window as Slide
 from cellweave.plans.partition import CartesianPartition, axes_to_reduce, check_repartition, reduction, replication
 from cellweave.schema import index_columns, known_small
@@ -110,6 +111,12 @@ def repartition_adjoint(dy: DataFrame, shape: Sequence[int], p_x: CartesianParti
     return repartition(dy, shape, p_y, p_x, move)
 
 
+def transpose(cells: DataFrame, shape: Sequence[int], p_x: CartesianPartition, p_y: CartesianPartition, move: bool = True) -> DataFrame:
+    """The former name of repartition()."""
+    warnings.warn("transpose() is now repartition()", DeprecationWarning, stacklevel=2)
+    return repartition(cells, shape, p_x, p_y, move)
+
+
 def overlaps(spark, shape: Sequence[int], p_x: CartesianPartition, p_y: CartesianPartition) -> DataFrame:
     """(src, dst, cells): how many cells each worker of p_x sends to each of p_y, from block bounds alone; empty overlaps are left out."""
     check_repartition(p_x, p_y, shape)
@@ -132,9 +139,14 @@ def halo_exchange(cells: DataFrame, wins: Sequence[Slide], p: CartesianPartition
     """(rank, i0.., v, ghost): every worker's own cells, and copies of those of its neighbours that its windows reach.
 
     Owners are computed per dimension and combined, so corners come out right, and a cell is copied without a range join.  Halos reach at most
-    the next block, as in an exchange between neighbours.
+    the next block, as in an exchange between neighbours; ValueError if one would reach further.
     """
     names = index_columns(len(wins))
+    for d, (w, q) in enumerate(zip(wins, p.shape, strict=True)):
+        for k in range(q):
+            left, right = w.reaches(q, k)
+            if (k > 0 and left > block_size(w.n, q, k - 1)) or (k < q - 1 and right > block_size(w.n, q, k + 1)):
+                raise ValueError(f"the halo of worker {k} in dimension {d} reaches beyond the next block")
     out, own = cells.select(*names, "v"), []
     for d, (w, q) in enumerate(zip(wins, p.shape, strict=True)):
         i, k = F.col(names[d]), owner(F.col(names[d]), w.n, q)

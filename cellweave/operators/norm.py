@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.schema import known_small
@@ -35,18 +35,13 @@ def running_stats(batches: DataFrame, momentum: float | None = 0.1) -> DataFrame
     Exponential average, new share = momentum; with momentum None or 0 the plain average of all batches so far.  The variance that is
     averaged is the population's.
     """
-    ordered = batches.groupBy("i1").agg(F.array_sort(F.collect_list(F.struct("step", "mean", "var"))).alias("s"))
-
-    def fold(name: str, first: float):
-        start = F.struct(F.lit(first).alias("v"), F.lit(0).cast("long").alias("n"))
-
-        def step(acc, x):
-            share = F.lit(float(momentum)) if momentum else F.lit(1.0) / (acc["n"] + 1)
-            return F.struct(((1.0 - share) * acc["v"] + share * x[name]).alias("v"), (acc["n"] + 1).alias("n"))
-
-        return F.aggregate("s", start, step)["v"]
-
-    return ordered.select("i1", fold("mean", 0.0).alias("running_mean"), fold("var", 1.0).alias("running_var"))
+    if not momentum:
+        return batches.groupBy("i1").agg(F.avg("mean").alias("running_mean"), F.avg("var").alias("running_var"))
+    # Folded, a batch has the share m (1 - m)^k, k batches before the last; no channel's batches are gathered into one row.
+    share, keep = float(momentum), 1.0 - float(momentum)
+    nth = F.row_number().over(Window.partitionBy("i1").orderBy(F.desc("step"), F.desc("mean"), F.desc("var"))) - 1
+    weighted = batches.withColumn("_w", F.lit(share) * F.pow(F.lit(keep), nth))
+    return weighted.groupBy("i1").agg(F.sum(F.col("_w") * F.col("mean")).alias("running_mean"), (F.sum(F.col("_w") * F.col("var")) + F.pow(F.lit(keep), F.count("*"))).alias("running_var"))
 
 
 def gradients(x: DataFrame, dy: DataFrame, channels: int, eps: float = 1e-5, affine: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

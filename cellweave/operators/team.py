@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators.move import REDUCERS, _rank_of_place
 from cellweave.plans.partition import CartesianPartition
-from cellweave.schema import grid, index_columns
+from cellweave.schema import BROADCAST_ROWS, grid, index_columns, known_small
 
 
 def worker_grid(spark: SparkSession, p: CartesianPartition) -> DataFrame:
@@ -46,10 +46,14 @@ def block_shapes(placed: DataFrame, dim: int) -> DataFrame:
     return placed.groupBy("rank").agg(*((F.max(c) - F.min(c) + 1).alias(f"n{d}") for d, c in enumerate(index_columns(dim))))
 
 
-def all_gather(vectors: DataFrame) -> DataFrame:
-    """(rank, gathered): every worker gets all workers' vectors (rank, data), in order of rank.  One row per worker is gathered."""
+def all_gather(vectors: DataFrame, values: int | None = None) -> DataFrame:
+    """(rank, gathered): every worker gets all workers' vectors (rank, data), in order of rank.
+
+    One row holds all vectors, as each worker is to have them all.  It is broadcast if the number of all their values is given and small;
+    otherwise the planner decides.
+    """
     table = vectors.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "data"))), lambda s: s["data"]).alias("gathered"))
-    return vectors.select("rank", F.lit(1).alias("_k")).join(F.broadcast(table.withColumn("_k", F.lit(1))), "_k").select("rank", "gathered")
+    return vectors.select("rank", F.lit(1).alias("_k")).join(known_small(table.withColumn("_k", F.lit(1)), BROADCAST_ROWS + 1 if values is None else values), "_k").select("rank", "gathered")
 
 
 def all_reduce_vectors(vectors: DataFrame, op: str = "sum") -> DataFrame:
@@ -65,3 +69,9 @@ def broadcast_vector(vectors: DataFrame, root: int, team: Sequence[int]) -> Data
         raise ValueError("the root is a member of the team")
     ranks = F.explode(F.array(*(F.lit(r).cast("long") for r in team)))
     return vectors.where(F.col("rank") == root).select(ranks.alias("rank"), "data")
+
+
+def print_sequential(values: DataFrame) -> None:
+    """Print each worker's value (rank, value), one worker after another in order of rank."""
+    for r in values.orderBy("rank").toLocalIterator():
+        print(f"rank = {r['rank']}, value = {r['value']}", flush=True)

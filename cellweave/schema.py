@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Element types.  Unsigned bytes widen to SHORT and half floats to FLOAT, since Spark has neither.
+def _complex(part: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("re", part), T.StructField("im", part)])
+
+
+#: Element types.  Unsigned bytes widen to SHORT and half floats to FLOAT, since Spark has neither; complex numbers are pairs.
 DTYPES: dict[str, T.DataType] = {
     "bool": T.BooleanType(),
     "uint8": T.ShortType(),
@@ -20,6 +24,8 @@ DTYPES: dict[str, T.DataType] = {
     "float16": T.FloatType(),
     "float32": T.FloatType(),
     "float64": T.DoubleType(),
+    "complex64": _complex(T.FloatType()),
+    "complex128": _complex(T.DoubleType()),
 }
 
 #: A table of at most so many rows, its size known on the driver, may be broadcast.

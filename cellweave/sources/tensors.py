@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.index import start_column
@@ -28,12 +28,21 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E: (i0 = 0, i1 = event type, i2 = day, i3 = hour, v = sum of cents), every cell present."""
+    """E: (i0 = 0, i1 = event type, i2 = day, i3 = hour, v = sum of cents), every cell present.
+
+    An event of a further type, or of a day outside the grid, is an error; so is one without a type or a time.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
     day = F.datediff(F.to_date("ts"), F.lit(FIRST_DAY).cast("date")).cast("long")
     binned = events.groupBy("event_type", day.alias("i2"), F.hour("ts").cast("long").alias("i3")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("n"))
-    kinds = events.agg(F.array_sort(F.collect_set("event_type")).alias("k")).select(F.posexplode("k").alias("c", "event_type"))
-    cells = binned.join(F.broadcast(kinds), "event_type").select(F.col("c").cast("long").alias("i1"), "i2", "i3", F.col("n").cast("double").alias("v"))
+    # One type more than the grid has is enough to see that there are too many.
+    kinds = events.select("event_type").distinct().orderBy("event_type").limit(TYPES + 1)
+    kinds = kinds.withColumn("c", F.row_number().over(Window.orderBy("event_type")) - 1)
+    inside = F.col("c").isNotNull() & (F.col("c") < TYPES) & F.col("i2").between(0, DAYS - 1) & F.col("i3").between(0, HOURS - 1)
+    held = F.when(inside, F.col("n")).otherwise(F.raise_error(F.lit("an event lies outside the grid of types and days")).cast("long"))
+    cells = binned.join(F.broadcast(kinds), "event_type", "left")
+    # Nulls become -1, so that no join condition takes such a row away before it is seen.
+    cells = cells.select(*(F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")).alias(i) for c, i in (("c", "i1"), ("i2", "i2"), ("i3", "i3"))), held.cast("double").alias("v"))
     # The full grid comes from a range, so it is spread over the cores from the start.
     full = fill(cells, (TYPES, DAYS, HOURS), ["i1", "i2", "i3"])
     return full.select(F.lit(0).cast("long").alias("i0"), "i1", "i2", "i3", "v")

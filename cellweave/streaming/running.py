@@ -13,19 +13,33 @@ from cellweave.operators.norm import batch_stats
 class RunningStats:
     """foreachBatch target.  State: (i1, running_mean, running_var, steps), one row per channel, kept as a table at `path`.
 
-    Each version is written to its own folder and named by the batch id, so a batch that is delivered again is folded once.
+    Each version is written to its own folder and named by the batch id, so a batch that is delivered again is folded once.  A new object
+    on the same path goes on from the newest version that was written whole, so statistics survive a restart of the driver.  A path
+    belongs to one stream with its checkpoint, whose batch ids it follows.
     """
 
     def __init__(self, path: str, momentum: float | None = 0.1):
-        self.path, self.momentum, self.last = path.rstrip("/"), momentum, None
+        self.path, self.momentum, self.last, self.looked = path.rstrip("/"), momentum, None, False
+
+    def _newest(self, spark) -> int | None:
+        """The largest batch id whose folder has been written whole."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return None
+        done = lambda s: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+        return max((int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit() and done(s)), default=None)
 
     def current(self, spark) -> DataFrame | None:
+        if not self.looked:
+            self.last, self.looked = self._newest(spark), True
         return None if self.last is None else spark.read.parquet(f"{self.path}/{self.last}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        old = self.current(batch.sparkSession)
         if self.last is not None and batch_id <= self.last:
             return
-        new, old = batch_stats(batch), self.current(batch.sparkSession)
+        new = batch_stats(batch)
         if old is None:
             both = new.withColumns({"running_mean": F.lit(0.0), "running_var": F.lit(1.0), "steps": F.lit(0).cast("long")})
         else:

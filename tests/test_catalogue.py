@@ -20,7 +20,8 @@ def rows(df):
 
 
 #: A part of the catalogue, for speed; the driver compares all of it.
-NAMES = [n for k, n in enumerate(sorted(catalogue.QUERIES)) if k % 3 == 0]
+NAMES = [n for k, n in enumerate(sorted(catalogue.QUERIES)) if k % 3 == 0 or n.endswith(("_grad", "_batch", "_running_ema", "_cma"))]
+NAMES += [n for n in ("team_algebra", "grid_index", "box_intersections", "block_cells", "index_filters", "zero_volume", "element_types", "transpose_alias", "all_gather", "conv2d") if n not in NAMES]
 
 
 def test_every_query_has_sql():

@@ -112,7 +112,7 @@ def test_schema(spark):
     assert zero_volume(spark, 2).count() == 0 and infer_schema(zero_volume(spark, 2), 2).shape == (0, 0)
     assert fill(cells.where("i0 = 1"), (3, 4), ["i0", "i1"]).agg(F.count("*"), F.sum("v")).first()[:] == (12, 4.0)
     with pytest.raises(ValueError):
-        TensorSchema((1,), "complex64")
+        TensorSchema((1,), "quaternion")
 
 
 def test_examples_with_known_results(spark):
@@ -177,3 +177,26 @@ def test_team_operators(spark):
     for bad in (lambda: W.broadcast_vector(v, 3, (5,)), lambda: W.all_reduce_vectors(v, "mean"), lambda: W.sub_grids(spark, p, (True,))):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_halos_beyond_the_next_block(spark):
+
+    x = spark.range(10).selectExpr("cast(0 as bigint) i0", "cast(0 as bigint) i1", "id i2", "1.0D v")
+    with pytest.raises(ValueError, match="beyond the next block"):
+        M.halo_exchange(x, windows((1, 1, 10), 7, 1, 3), grid_of((1, 1, 5)))
+    assert M.halo_exchange(x, windows((1, 1, 10), 5, 1, 2), grid_of((1, 1, 5))).where("ghost").count() == 16
+
+
+def test_former_name_of_repartition(spark):
+
+    x = spark.range(6).selectExpr("id i0", "cast(0 as bigint) i1", "1.0D v")
+    with pytest.warns(DeprecationWarning, match="repartition"):
+        old = M.transpose(x, (6, 1), grid_of((3, 1)), grid_of((2, 1)))
+    assert sorted(old.collect()) == sorted(M.repartition(x, (6, 1), grid_of((3, 1)), grid_of((2, 1))).collect())
+
+
+def test_values_are_printed_in_order_of_rank(spark, capsys):
+    from cellweave.operators import team as W
+
+    W.print_sequential(spark.createDataFrame([(2, "c"), (0, "a"), (1, "b")], "rank long, value string").repartition(3))
+    assert capsys.readouterr().out.splitlines() == ["rank = 0, value = a", "rank = 1, value = b", "rank = 2, value = c"]

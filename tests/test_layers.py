@@ -200,3 +200,31 @@ def test_partition_invariance_and_adjoints(spark, case):
     y = f.select(*names, (F.xxhash64(*names) / 1e18).alias("v")).cache()
     dot = lambda p, q, on: p.join(q.withColumnRenamed("v", "w"), on).agg(F.sum(F.col("v") * F.col("w"))).first()[0]
     assert np.isclose(dot(f, y, names), dot(x, back(y), x_names))
+
+
+@pytest.mark.parametrize("odd", [("2024-01-05 03:00:00", "zz sixth"), ("2024-01-31 00:00:00", "click"), ("2023-12-31 23:00:00", "click"), ("2024-01-05 03:00:00", None), (None, "click")])
+def test_events_outside_the_grid_are_an_error(spark, tmp_path, odd):
+    rows = [(f"2024-01-{d:02d} 05:00:00", t, 1.5) for d in (1, 30) for t in ("buy", "cart", "click", "login", "view")]
+    for name, more in (("good", []), ("bad", [(*odd, 2.0)])):
+        (tmp_path / name).mkdir()
+        table = spark.createDataFrame(rows + more, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+        table.write.parquet(str(tmp_path / name / "events.parquet"))
+    assert T.events_grid(spark, str(tmp_path / "good")).agg(F.sum("v")).first()[0] == 1500
+    with pytest.raises(Exception, match="outside the grid"):
+        T.events_grid(spark, str(tmp_path / "bad")).agg(F.sum("v")).collect()
+
+
+def test_running_stats_after_a_restart(spark, tmp_path):
+    batches = [brute.cells(spark, np.random.default_rng(k).normal(k, 1 + k, (4, 3))) for k in range(4)]
+    whole = RunningStats(str(tmp_path / "a"), 0.2)
+    for k, b in enumerate(batches):
+        whole(b, k)
+    for k, b in enumerate(batches):
+        RunningStats(str(tmp_path / "b"), 0.2)(b, k)
+    rows = lambda s: sorted(tuple(round(v, 9) for v in r) for r in s.current(spark).collect())
+    fresh = RunningStats(str(tmp_path / "b"), 0.2)
+    assert rows(whole) == rows(fresh) and {r["steps"] for r in fresh.current(spark).collect()} == {4}
+    fresh(batches[0], 2)
+    assert rows(whole) == rows(fresh)
+    (tmp_path / "b" / "9").mkdir()
+    assert rows(RunningStats(str(tmp_path / "b"), 0.2)) == rows(whole)
