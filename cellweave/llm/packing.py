@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import read, ship_package, slices, texts_of
+from cellweave.llm.runtime import lean, read, ship_package, slices, texts_of
 
 #: Context tiers, powers of two, longest first.
 TIERS = (1024, 512, 256, 128)
@@ -37,7 +37,7 @@ STEP_TOKENS = 65_536
 #: Pieces that wait in all queues before windows are filled.
 QUEUE = 4096
 #: Distinct chunks that a worker keeps before it starts a new table, and the longest that it keeps.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 150_000
 KEEP_CHARS = 200
 
 #: Fixed: how this family of tokenizers cuts a text before it merges bytes.
@@ -254,7 +254,7 @@ def pack(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: s
             yield rows()
 
     schema = f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

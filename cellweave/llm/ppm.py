@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import crc_mod, materialise, read, release, remove, ship_package, slices, texts_of
+from cellweave.llm.runtime import crc_mod, lean, materialise, read, release, remove, ship_package, slices, texts_of
 
 #: Bytes of the longest context that the query learns.
 DEPTH = 5
@@ -248,7 +248,7 @@ def gather(parts: DataFrame, depth: int, n_buckets: int) -> DataFrame:
         yield from send_words()
         yield from send_grams()
 
-    return parts.select("doc_id", "text", "part", "train").mapInArrow(run, "bucket int, part long, h binary, g binary, n binary")
+    return parts.select("doc_id", "text", "part", "train").mapInArrow(lean(run), "bucket int, part long, h binary, g binary, n binary")
 
 
 def summed(gathered: DataFrame, n_buckets: int) -> DataFrame:
@@ -282,7 +282,7 @@ def summed(gathered: DataFrame, n_buckets: int) -> DataFrame:
             for kind, total in ((2, sums.sum()), (3, (sums > 0).sum())):
                 yield rows(kind, np.array([total]), [[b""]] * 3)
 
-    return gathered.repartitionById(2 * n_buckets, F.col("bucket")).mapInArrow(run, "kind int, to long, h binary, g binary, n binary")
+    return gathered.repartitionById(2 * n_buckets, F.col("bucket")).mapInArrow(lean(run), "kind int, to long, h binary, g binary, n binary")
 
 
 #: Tasks that add up the counts of short contexts, and the codes of class counts among theirs.
@@ -319,7 +319,7 @@ def grouped(sums: DataFrame, n_buckets: int, depth: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([to]), pa.array([code[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], names=["kind", "to", "h", "n"])
                     a = b
 
-    return sums.where("kind = 1").select("to", "h", "n").repartitionById(n_buckets, F.col("to").cast("int")).mapInArrow(run, "kind int, to long, h binary, n binary")
+    return sums.where("kind = 1").select("to", "h", "n").repartitionById(n_buckets, F.col("to").cast("int")).mapInArrow(lean(run), "kind int, to long, h binary, n binary")
 
 
 def fit(groups: DataFrame, depth: int) -> Model:
@@ -336,7 +336,7 @@ def fit(groups: DataFrame, depth: int) -> Model:
             code, n = added(*(np.concatenate(x) for x in zip(*held, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-    got = groups.where("kind = 3").repartitionById(SHORT_TASKS, F.col("to").cast("int")).select("h", "n").mapInArrow(run, "code long, n long").toPandas().sort_values("code")
+    got = groups.where("kind = 3").repartitionById(SHORT_TASKS, F.col("to").cast("int")).select("h", "n").mapInArrow(lean(run), "code long, n long").toPandas().sort_values("code")
     code, n = got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
     classes = np.zeros((depth + 1, 2, SIDE * SIDE))
     of = code[code >= _CLASS] - _CLASS
@@ -374,9 +374,9 @@ def answers(gathered: DataFrame, groups: DataFrame, model: Model, n_buckets: int
                     raise RuntimeError("a part asks for a gram that it has not sent")
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([h], pa.binary()), pa.array([log[at].tobytes()], pa.binary())], names=["part", "h", "g"])
 
-    assessed = groups.where("kind = 1").select("h", "n").mapInArrow(assess, "bucket int, part long, h binary, g binary")
+    assessed = groups.where("kind = 1").select("h", "n").mapInArrow(lean(assess), "bucket int, part long, h binary, g binary")
     sent = gathered.where(F.col("bucket") >= n_buckets).select(F.col("bucket") - n_buckets, "part", "h", F.lit(None).cast("binary").alias("g")).toDF("bucket", "part", "h", "g")
-    return sent.unionByName(assessed).repartitionById(n_buckets, F.col("bucket")).mapInArrow(reply, "part long, h binary, g binary")
+    return sent.unionByName(assessed).repartitionById(n_buckets, F.col("bucket")).mapInArrow(lean(reply), "part long, h binary, g binary")
 
 
 class Answers:
@@ -476,7 +476,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 n, known, base, model = held.score([t.encode().lower() for t in texts_of(one.column(3))], depth)
                 yield pa.RecordBatch.from_arrays([one.column(2), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(model)], names=names)
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

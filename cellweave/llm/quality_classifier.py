@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import crc_mod, read, ship_package, slices, texts_of
+from cellweave.llm.runtime import crc_mod, lean, read, ship_package, slices, texts_of
 from cellweave.llm.samples import SAMPLE_ROWS, SAMPLE_TEXT_BYTES, labelled
 
 WIDTH = 64
@@ -32,7 +32,7 @@ NEAR = 2
 HIDDEN = 32
 THRESHOLD = 0.7
 #: Distinct raw words whose numbers a worker keeps, and distinct forms, before it starts new tables.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 150_000
 TABLE_FORMS = 100_000
 
 _FORM = bytes.maketrans(bytes(range(256)), bytes(97 if 97 <= b < 123 or b >= 128 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256)))
@@ -95,11 +95,15 @@ class Model:
                     got[k] = n
         return np.array(got, np.int64)
 
+    def forget(self) -> None:
+        """Drop what a worker has noted about words."""
+        for table in (self.table, self.pairs, self.forms, self.form_rows):
+            table.clear()
+
     def pooled(self, texts: list[str]) -> np.ndarray:
         """Mean context vector beside mean form vector of each text; zero where there is no word."""
         if len(self.table) > TABLE_WORDS or len(self.forms) > TABLE_FORMS:
-            for table in (self.table, self.pairs, self.forms, self.form_rows):
-                table.clear()
+            self.forget()
         split = [t.encode().split() for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
         out = np.zeros((len(texts), 2 * WIDTH), np.float32)
@@ -222,8 +226,9 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in slices(batches):
             s = m.score(texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
+        m.forget()
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int")
 
 
 def filter_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -237,8 +242,9 @@ def filter_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
             yield batch.filter(pa.array(shared.value.score(texts_of(batch.column(at))) >= threshold))
+        shared.value.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

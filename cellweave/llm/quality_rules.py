@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import read, ship_package, slices, texts_of
+from cellweave.llm.runtime import lean, read, ship_package, slices, texts_of
 from cellweave.llm.samples import SAMPLE_ROWS, labelled
 
 WINDOW = 8
@@ -258,7 +258,7 @@ def apply_rules(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[k]) for k in BASE), pa.array(failed), pa.array(score), pa.array(~failed & (score >= keep_at))], names=names)
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, rule_score double, kept boolean"
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
 
 
 def filter_documents(docs: DataFrame, trees: Trees) -> DataFrame:
@@ -272,7 +272,7 @@ def filter_documents(docs: DataFrame, trees: Trees) -> DataFrame:
             failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
             yield batch.filter(pa.array(~failed & (trees.score(matrix(x)) >= KEEP_AT)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

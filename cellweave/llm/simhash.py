@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import materialise, read, release, remove, ship_package, slices, texts_of
+from cellweave.llm.runtime import lean, materialise, read, release, remove, ship_package, slices, texts_of
 
 WORDS = 4
 MOST_BITS = 4
@@ -86,7 +86,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fp = fingerprints(texts_of(batch.column(1)), words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(lean(run), f"`{id_col}` {kind}, fp long")
 
 
 def position_tuples(size: int, least: int = 8 - MOST_BITS, positions: int = 8) -> list[tuple[int, ...]]:
@@ -281,7 +281,7 @@ def _listed(lists: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([a, b], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return lists.mapInArrow(run, "a long, b long")
+    return lists.mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -409,11 +409,11 @@ def marked_sets(keyed: DataFrame, row: str, words: int, n_parts: int) -> DataFra
         yield from send()
 
     schema = "kind int, part long, bucket int, row long, key binary, size long, fp long, h binary, n binary"
-    return keyed.select(F.col(row).alias("row"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return keyed.select(F.col(row).alias("row"), F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
 #: Shingles of a part that a worker holds before it sends them on.
-PART_SHINGLES = 4_000_000
+PART_SHINGLES = 1_500_000
 
 
 def bucket_and_low(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -442,7 +442,7 @@ def shared_shingles(marked: DataFrame, n_parts: int) -> DataFrame:
                 n = total[end - len(h) : end]
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([bucket], pa.int32()), pa.array([h[n > 1].tobytes()], pa.binary()), pa.array([n[n > 1].tobytes()], pa.binary())], names=["part", "bucket", "h", "n"])
 
-    return marked.where("kind = 1").select("bucket", "part", "h", "n").repartitionById(n_parts, F.col("bucket")).mapInArrow(run, "part long, bucket int, h binary, n binary")
+    return marked.where("kind = 1").select("bucket", "part", "h", "n").repartitionById(n_parts, F.col("bucket")).mapInArrow(lean(run), "part long, bucket int, h binary, n binary")
 
 
 def rare_postings(keyed: DataFrame, row: str, sets: DataFrame, shared: DataFrame, words: int, similarity: float, n_parts: int) -> DataFrame:
@@ -493,7 +493,7 @@ def rare_postings(keyed: DataFrame, row: str, sets: DataFrame, shared: DataFrame
         short = pos < (size - ceil_share(2 * similarity / (1 + similarity), size) + 1)[owner]
         return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(np.array(ids, np.int64)[owner][keep]), pa.array(size[owner][keep]), pa.array(pos[keep]), pa.array(short[keep])], names=["posting", "row", "size", "pos", "short"])
 
-    return rows.mapInArrow(run, "posting long, row long, size long, pos long, short boolean")
+    return rows.mapInArrow(lean(run), "posting long, row long, size long, pos long, short boolean")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -520,11 +520,14 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     sets = materialise(info.groupBy("key").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("fp").alias("fp")), "sets")
     shared = materialise(shared_shingles(marked, n_parts), "shared")
     remove(spark, marked.scratch)
+    release(spark)
     lists = materialise(rare_postings(keyed, row, sets, shared, words, similarity, n_parts), "lists")
     remove(spark, shared.scratch)
     release(spark)
+    all_lists = lists
     some = materialise(lists.groupBy("posting").agg(F.count("*").alias("n"), F.max("short").alias("any")).where("n > 1 and any").select("posting"), "some")
     lists = materialise(lists.join(some, "posting"), "lists")
+    remove(spark, all_lists.scratch)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose shingle sets are similar."""
@@ -546,7 +549,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
         texts = keyed.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
         texts = materialise(texts.join(ends, F.col("row") == F.col("_r"), "left_semi"), "texts")
         of = lambda c, t: texts.select(F.col("row").alias(c), F.col("text").alias(t))
-        out = materialise(pairs.join(of("b", "t"), "b").join(of("a", "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "verified")
+        out = materialise(pairs.join(of("b", "t"), "b").join(of("a", "s"), "a").select("a", "b", "s", "t").mapInArrow(lean(run), "a long, b long"), "verified")
         remove(spark, texts.scratch)
         release(spark)
         return out
