@@ -117,6 +117,20 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """Values as planes of bytes, first bytes first, which compress well; rising ones as differences."""
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def joined(rows: list, kind: str, rising: bool = False) -> np.ndarray:
+    """What packed() has made of several arrays, one after another."""
+    width = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(width, len(r) // width).T).view(kind).ravel() for r in rows if r]
+    return np.concatenate([np.cumsum(x, dtype=kind) for x in parts] if rising else parts) if parts else np.zeros(0, kind)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import lean, materialise, read, release, remove, ship_package, slices, texts_of
+from cellweave.llm.runtime import joined, lean, materialise, packed, read, release, remove, ship_package, slices, texts_of
 
 WORDS = 4
 MOST_BITS = 4
@@ -35,6 +35,10 @@ SEED = 42
 LIST = 2048
 #: Longer posting lists are dealt anew over the tasks, by longer tuples.
 LONG_LIST = 50_000
+#: Up to so many edges, the rounds of components() write nothing but their result.
+FEW_EDGES = 200_000
+#: Bits of a set in which each shingle flips one.
+FLIPS = 1024
 #: Shingles that are hashed at once.
 BLOCK = 1 << 18
 
@@ -291,18 +295,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     node's neighbours are gathered in one place: both sides of the joins are plain exchanges, of which Spark can split a hub's part.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    # A few edges need neither files between the joins nor many tasks.
+    few = now.count() <= FEW_EDGES
+    gathered, written = (lambda df: df.coalesce(4), lambda df, _: df) if few else (lambda df: df, materialise)
     mark = None
     for _ in range(most_rounds):
         # Large-star: neighbours above u go to the least of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small-star: u and its neighbours below go to the least of them.
-        big = materialise(big, "big")
-        low = materialise(big.groupBy("u").agg(F.min("v").alias("m")), "low")
+        big = written(big, "big")
+        low = written(big.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = big.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        before, now = now, materialise(small, "stars")
-        for df in (before, least, big, low):
+        before, now = now, materialise(gathered(small), "stars")
+        for df in (before,) if few else (before, least, big, low):
             remove(now.sparkSession, df.scratch)
         # Sums of hashes tell whether the set of edges is the same as before.
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -363,12 +370,12 @@ def ceil_share(share: float, size: np.ndarray) -> np.ndarray:
 
 
 def marked_sets(keyed: DataFrame, row: str, words: int, n_parts: int) -> DataFrame:
-    """Kind 0: (row, key, size, fp) of each row's shingle set; kind 1: (bucket, part, h, n), a part's distinct shingles and how many of its different sets hold them.
+    """Kind 0: (row, key, size, fp, bits) of each row's shingle set; kind 1: (bucket, part, h, n), a part's distinct shingles and how many of its different sets hold them.
 
     Of a hash, the bucket is one part and the 32 bits in h another; n is left out where it is always one.
     """
-    names = ["kind", "part", "bucket", "row", "key", "size", "fp", "h", "n"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["kind", "part", "bucket", "row", "key", "size", "fp", "bits", "h", "n"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def batch_of(rows_: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows_, t) for c, t in zip(names, types, strict=True)], names=names)
@@ -383,21 +390,22 @@ def marked_sets(keyed: DataFrame, row: str, words: int, n_parts: int) -> DataFra
             held.clear()
             bucket, low = bucket_and_low(all_, n_parts)
             for some in (count == 1, count > 1):
-                order = np.argsort(bucket[some], kind="stable")
+                order = np.lexsort((low[some], bucket[some]))
                 b, h, n = bucket[some][order], low[some][order], count[some][order].astype("<u4")
                 cuts = [0, *(np.flatnonzero(np.diff(b)) + 1), len(b)] if len(b) else [0]
                 ends = list(zip(cuts, cuts[1:], strict=False))
                 if ends:
-                    yield batch_of(len(ends), kind=[1] * len(ends), part=[part] * len(ends), bucket=b[cuts[:-1]].astype(np.int32), h=[h[x:y].tobytes() for x, y in ends], n=[b"" if n[x] == 1 else n[x:y].tobytes() for x, y in ends])
+                    yield batch_of(len(ends), kind=[1] * len(ends), part=[part] * len(ends), bucket=b[cuts[:-1]].astype(np.int32), h=[packed(h[x:y], rising=True) for x, y in ends], n=[b"" if n[x] == 1 else packed(n[x:y]) for x, y in ends])
 
         for batch in slices(batches):
             rows = batch.column(0).to_numpy()
-            keys, sizes, fps = [], [], []
+            keys, sizes, fps, bits = [], [], [], []
             for r, t in zip(rows.tolist(), texts_of(batch.column(1)), strict=True):
                 x = shingle_set(t, words)
                 keys.append(xxhash.xxh3_128_digest(x.tobytes()))
                 sizes.append(len(x))
                 fps.append(majority(x) if len(x) else np.uint64(0))
+                bits.append(flipped(x))
                 if r >> 33 != part or sum(map(len, held)) > PART_SHINGLES:
                     yield from send()
                     part, known = r >> 33, known if r >> 33 == part else set()
@@ -405,13 +413,19 @@ def marked_sets(keyed: DataFrame, row: str, words: int, n_parts: int) -> DataFra
                     known.add(keys[-1])
                     held.append(x)
             n = len(rows)
-            yield batch_of(n, kind=[0] * n, part=rows >> 33, row=rows, key=keys, size=sizes, fp=np.array(fps, np.uint64).view(np.int64))
+            yield batch_of(n, kind=[0] * n, part=rows >> 33, row=rows, key=keys, size=sizes, fp=np.array(fps, np.uint64).view(np.int64), bits=bits)
         yield from send()
 
-    schema = "kind int, part long, bucket int, row long, key binary, size long, fp long, h binary, n binary"
+    schema = "kind int, part long, bucket int, row long, key binary, size long, fp long, bits array<long>, h binary, n binary"
     return keyed.select(F.col(row).alias("row"), F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
+def flipped(x: np.ndarray) -> np.ndarray:
+    """FLIPS bits as longs, each flipped by every shingle that falls on it.  Two sets differ in as many shingles at least as they do in bits."""
+    odd = np.bincount((x & np.uint64(FLIPS - 1)).astype(np.int64), minlength=FLIPS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 #: Shingles of a part that a worker holds before it sends them on.
 PART_SHINGLES = 1_500_000
 
@@ -431,8 +445,8 @@ def shared_shingles(marked: DataFrame, n_parts: int) -> DataFrame:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
             for bucket, part, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = np.frombuffer(h, "<u4")
-                held.setdefault(bucket, []).append((part, h, np.frombuffer(n, "<u4") if n else np.ones(len(h), np.uint32)))
+                h = joined([h], "<u4", rising=True)
+                held.setdefault(bucket, []).append((part, h, joined([n], "<u4") if n else np.ones(len(h), np.uint32)))
         while held:
             bucket, rows = held.popitem()
             own, at = np.unique(np.concatenate([h for _, h, _ in rows]), return_inverse=True)
@@ -440,7 +454,7 @@ def shared_shingles(marked: DataFrame, n_parts: int) -> DataFrame:
             ends = np.cumsum([len(h) for _, h, _ in rows])
             for (part, h, _), end in zip(rows, ends, strict=True):
                 n = total[end - len(h) : end]
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([bucket], pa.int32()), pa.array([h[n > 1].tobytes()], pa.binary()), pa.array([n[n > 1].tobytes()], pa.binary())], names=["part", "bucket", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([bucket], pa.int32()), pa.array([packed(h[n > 1], rising=True)], pa.binary()), pa.array([packed(n[n > 1])], pa.binary())], names=["part", "bucket", "h", "n"])
 
     return marked.where("kind = 1").select("bucket", "part", "h", "n").repartitionById(n_parts, F.col("bucket")).mapInArrow(lean(run), "part long, bucket int, h binary, n binary")
 
@@ -468,7 +482,7 @@ def rare_postings(keyed: DataFrame, row: str, sets: DataFrame, shared: DataFrame
                 if p_all[lo] != part:
                     part, got, firsts, table = int(p_all[lo]), [], set(), None
                 if at_all[lo] == 0:
-                    got += [(np.frombuffer(h, "<u4").astype(np.int64) + (b << 32), np.frombuffer(n, "<u4")) for b, h, n in zip(*(one.column(k).to_pylist() for k in (4, 5, 6)), strict=True)]
+                    got += [(joined([h], "<u4", rising=True).astype(np.int64) + (b << 32), joined([n], "<u4")) for b, h, n in zip(*(one.column(k).to_pylist() for k in (4, 5, 6)), strict=True)]
                 elif at_all[lo] == 1:
                     firsts.update(one.column(2).to_pylist())
                 else:
@@ -504,8 +518,8 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     1. The SimHash index: sets whose fingerprints differ in at most four bits.  It finds most near copies, but cannot promise all
        at this similarity.
     2. Lists of the rarest shingles of each set (rare_postings), which any two similar sets share: each set with the first of its lists.
-    3. In lists that still hold several groups, sets outside the largest with all sets of other groups.  Sizes and places in the order
-       rule out most pairs unseen.  As shingles go rarest first, a passage of many documents is in a document's list only where
+    3. In lists that still hold several groups, sets outside the largest with all sets of other groups.  Sizes, places in the order
+       and a bitmap of each set, all of them exact bounds, rule out nearly all pairs that are not similar, inside the join.  As shingles go rarest first, a passage of many documents is in a document's list only where
        little else is in that document; the work of a list is its length times the sets that belong to none of its largest group.
 
     Texts without words are one group.  Rows are told apart by a number written with them; of a group stays the row with the smallest doc_id, nulls last, then
@@ -516,8 +530,8 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     keyed, row = numbered(docs)
     n_parts = int(keyed.agg(F.coalesce(F.max(F.shiftright(row, 33)) + 1, F.lit(1))).first()[0])
     marked = materialise(marked_sets(keyed, row, words, n_parts), "marked")
-    info = materialise(marked.where("kind = 0").select("row", "key", "size", "fp"), "info")
-    sets = materialise(info.groupBy("key").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("fp").alias("fp")), "sets")
+    info = materialise(marked.where("kind = 0").select("row", "key", "size", "fp", "bits"), "info")
+    sets = materialise(info.groupBy("key").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("bits").alias("bits")), "sets")
     shared = materialise(shared_shingles(marked, n_parts), "shared")
     remove(spark, marked.scratch)
     release(spark)
@@ -585,9 +599,14 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     rooted = of_groups(links)
     counts = rooted.groupBy("posting", "root").agg(F.count("*").alias("n"))
     mixed = materialise(counts.groupBy("posting").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("most")).where("k > 1").select("posting", "most"), "mixed")
-    open_ = materialise(rooted.join(mixed, "posting"), "open")
-    few = materialise(open_.where("root <> most").select("posting", F.col("m").alias("h"), F.col("root").alias("head_root")), "few")
-    rest = open_.join(few, "posting").where((F.col("root") != F.col("head_root")) & near("h", "m"))
+    bits = sets.select(F.col("row").alias("_r"), "bits")
+    open_ = rooted.join(mixed, "posting").join(bits, F.col("m.row") == F.col("_r")).drop("_r")
+    open_ = materialise(open_, "open")
+    few = materialise(open_.where("root <> most").select("posting", F.col("m").alias("h"), F.col("root").alias("head_root"), F.col("bits").alias("h_bits")), "few")
+    # Sets of that similarity differ in (1 - t) / (1 + t) of their shingles together at most.
+    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("h_bits")[k])) for k in range(1, FLIPS // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("h_bits")[0])))
+    close = apart <= (F.col("h.size") + F.col("m.size")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    rest = open_.join(few, "posting").where((F.col("root") != F.col("head_root")) & near("h", "m") & close)
     links = links.unionByName(verified(rest.select(F.col("h.row").alias("a"), F.col("m.row").alias("b"))))
 
     roots = materialise(components(links), "roots")

@@ -156,7 +156,10 @@ def test_index_finds_all_links(spark, size):
     assert {(k, min(g)) for g in groups.values() for k in g} == components_by_pairs(fps)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_a_long_chain(spark, monkeypatch, few):
+    """Both with files between the joins of a round and without."""
+    monkeypatch.setattr(simhash, "FEW_EDGES", few)
     n = 200
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
