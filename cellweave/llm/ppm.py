@@ -10,13 +10,13 @@ that no training text holds.  A context that was never seen passes on to the sho
 (their length, T and the number q of different bytes, both rounded above a limit), by leaving one out: of all occurrences in the class' contexts, taken
 away one at a time, the share that the rest would not have seen; where a class has few, method D's q / 2T prevails.
 
-How it is spread.  Input rows are dealt into parts of the input's own partitions.  A part sends its distinct words and grams (context and
-byte), packed by bucket of their hash; a bucket's task adds up, and a part gets the sums of its own words back.  The distinct grams are
+How it is spread.  A task cuts its input into parts of PART_BYTES of text.  A part sends its distinct words and grams (context and
+byte), packed by bucket of their hash, and its texts, compressed; a bucket's task adds up, and a part gets the sums of its own words back.  The distinct grams are
 dealt once more by their last three context bytes: a context's bytes are among those of any suffix of it, so these groups hold all that
 the probabilities of contexts of three bytes and more depend on, and a group has no more than 256^(depth - 2) grams however large the corpus is.  Only the counts
 after contexts of up to two bytes (2^24 by their nature) and the escape classes go to every worker.  Probabilities go back to each part
-by the buckets that its grams came in.  No task depends on the frequency of a word or context, and texts are shuffled once, to meet the answers
-for their part.
+by the buckets that its grams came in.  No task depends on the frequency of a word or context, and texts are shuffled once, compressed, to
+meet the answers for their part.
 
 Null texts are empty (one token, the end).  Rows with equal ids are scored each.  Without training rows N and V are zero and all bytes
 are equally likely.  Very long texts are read in blocks.
@@ -32,17 +32,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import crc_mod, lean, materialise, read, release, remove, ship_package, slices, texts_of
+from cellweave.llm.runtime import crc_mod, joined, lean, materialise, packed, read, release, remove, shared_dir, ship_package, slices, texts_of
 
 #: Bytes of the longest context that the query learns.
 DEPTH = 5
-#: Stored bytes of a part, and the distinct words and grams of one that a worker holds before it sends them on.
-PART_BYTES = 32 << 20
+#: Bytes of text of a part, and the distinct words and grams of one that a worker holds before it sends them on.
+PART_BYTES = 24 << 20
 PART_WORDS = 400_000
 PART_GRAMS = 2_000_000
+#: Bytes of text for each bucket of words and of grams.
+BUCKET_BYTES = 16 << 20
 #: Bytes that are turned into words or grams at once.
 BLOCK = 1 << 20
 #: Grams of one row that goes to be assessed, if they have more than one group.
@@ -100,16 +103,12 @@ def bucket_of(code: np.ndarray, n: int) -> np.ndarray:
     return ((code.astype(np.uint64) * _MIX >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def dealt(p: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """The different values of p, and of each column the bytes of the values that go with them."""
+def dealt(p: np.ndarray, *columns: np.ndarray, rising: bool = False) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The different values of p, and of each column the packed values that go with them.  rising: those of the first column are in order."""
     order = np.argsort(p, kind="stable")
     p = p[order]
     cuts = [0, *(np.flatnonzero(np.diff(p)) + 1), len(p)] if len(p) else [0]
-    return p[cuts[:-1]], [[x[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in columns]
-
-
-def joined(rows: list, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), kind)
+    return p[cuts[:-1]], [[packed(x[order[a:b]], rising and x is columns[0]) for a, b in zip(cuts, cuts[1:], strict=False)] for x in columns]
 
 
 def added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,20 +187,30 @@ def contexts(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return here, np.unique(here >> 8, return_inverse=True)[1], at, np.bincount(at, n, len(here))
 
 
-def gather(parts: DataFrame, depth: int, n_buckets: int) -> DataFrame:
-    """(bucket, part, h, g, n): training counts of a part's distinct words and, in buckets from n_buckets on, of its distinct grams (in h), packed."""
+#: What gather() writes, each in a folder of its own.
+WORDS, GRAMS, TEXTS = 0, 1, 2
+
+
+def gather(docs: DataFrame, depth: int, n_buckets: int) -> DataFrame:
+    """(kind, task, nth, bucket, h, g, n) from (doc_id, text, train).
+
+    WORDS and GRAMS: training counts of the distinct words, and of the distinct grams (in h), of a task's nth part, packed by bucket;
+    TEXTS: its ids and texts, compressed, in h.
+    """
+    names = ["kind", "task", "nth", "bucket", "h", "g", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, words, held = -1, Counter(), []
+        task, nth, size = TaskContext.get().partitionId(), 0, 0
+        words, held = Counter(), []
 
-        def rows(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-            buckets, blobs = dealt(bucket, *columns)
-            return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), part, np.int64)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "part", "h", "g", "n"])
+        def rows(kind: int, bucket: np.ndarray, blobs: list[list[bytes]]) -> pa.RecordBatch:
+            same = [pa.array(np.full(len(bucket), x, np.int32)) for x in (kind, task, nth)]
+            return pa.RecordBatch.from_arrays([*same, pa.array(bucket.astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], names=names)
 
         def send_words():
             if words:
                 h, g = word_hash(words)
-                yield rows(bucket_of(h, n_buckets), h, g, np.fromiter(words.values(), np.int64, len(words)))
+                yield rows(WORDS, *dealt(bucket_of(h, n_buckets), h, g, np.fromiter(words.values(), np.int64, len(words))))
                 words.clear()
 
         def merge():
@@ -211,48 +220,49 @@ def gather(parts: DataFrame, depth: int, n_buckets: int) -> DataFrame:
             merge()
             if held:
                 code, n = held.pop()
-                yield rows(n_buckets + bucket_of(code, n_buckets), code, np.zeros(len(code), np.int8), n)
+                yield rows(GRAMS, *dealt(bucket_of(code, n_buckets), code, np.zeros(len(code), np.int8), n, rising=True))
 
         for batch in slices(batches):
-            p_all = batch.column(2).to_numpy()
-            cuts = np.flatnonzero(np.diff(p_all)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(p_all)], strict=True):
-                one = batch.slice(lo, hi - lo)
-                if p_all[lo] != part:
-                    yield from send_words()
-                    yield from send_grams()
-                    part = int(p_all[lo])
-                sides: tuple[list[bytes], list[bytes]] = ([], [])
-                for t, learn in zip(texts_of(one.column(1)), one.column(3).to_pylist(), strict=True):
-                    sides[bool(learn)].append(t.encode().lower())
-                for texts, learn in zip(sides, (0, 1), strict=True):
-                    if not texts:
-                        continue
-                    words[END] += len(texts) * learn
-                    for group in pieces(texts):
-                        found = [w for _, t in group for w in t.split()]
-                        if learn:
-                            words.update(found)
-                        else:
-                            for w in set(found):
-                                words.setdefault(w, 0)
-                        if len(words) > PART_WORDS:
-                            yield from send_words()
-                    for code, _ in grams(texts, depth):
-                        code, n = np.unique(code, return_counts=True)
-                        held.append((code, n * learn))
-                        if sum(len(c) for c, _ in held) > PART_GRAMS:
-                            merge()
-                            if len(held[0][0]) > PART_GRAMS * 3 // 4:
-                                yield from send_grams()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.select([0, 1]).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch.select([0, 1]))
+            yield rows(TEXTS, np.zeros(1), [[sink.getvalue().to_pybytes()], [b""], [b""]])
+            sides: tuple[list[bytes], list[bytes]] = ([], [])
+            for t, learn in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                sides[bool(learn)].append(t.encode().lower())
+                size += len(sides[bool(learn)][-1])
+            for texts, learn in zip(sides, (0, 1), strict=True):
+                if not texts:
+                    continue
+                words[END] += len(texts) * learn
+                for group in pieces(texts):
+                    found = [w for _, t in group for w in t.split()]
+                    if learn:
+                        words.update(found)
+                    else:
+                        for w in set(found):
+                            words.setdefault(w, 0)
+                    if len(words) > PART_WORDS:
+                        yield from send_words()
+                for code, _ in grams(texts, depth):
+                    code, n = np.unique(code, return_counts=True)
+                    held.append((code, n * learn))
+                    if sum(len(c) for c, _ in held) > PART_GRAMS:
+                        merge()
+                        if len(held[0][0]) > PART_GRAMS * 3 // 4:
+                            yield from send_grams()
+            if size >= PART_BYTES:
+                yield from send_words()
+                yield from send_grams()
+                nth, size = nth + 1, 0
         yield from send_words()
         yield from send_grams()
 
-    return parts.select("doc_id", "text", "part", "train").mapInArrow(lean(run), "bucket int, part long, h binary, g binary, n binary")
+    return docs.select("doc_id", "text", "train").mapInArrow(lean(run), "kind int, task int, nth int, bucket int, h binary, g binary, n binary")
 
 
-def summed(gathered: DataFrame, n_buckets: int) -> DataFrame:
-    """(kind, to, h, g, n).  Kind 0: to a part, its words and their sums over all parts; 1: to a group's bucket, distinct grams and their sums; 2 and 3: N and V of
+def summed(words: DataFrame, grams_: DataFrame, n_buckets: int) -> DataFrame:
+    """(kind, to, h, g, n) from rows (part, bucket, h, g, n).  Kind 0: to a part, its words and their sums over all parts; 1: to a group's bucket, distinct grams and their sums; 2 and 3: N and V of
     some words, in `to`."""
     names = ["kind", "to", "h", "g", "n"]
 
@@ -267,13 +277,13 @@ def summed(gathered: DataFrame, n_buckets: int) -> DataFrame:
         while held:
             bucket, got = held.popitem()
             part, h, g, n = zip(*got, strict=True)
-            code, count = joined(h, "<i8"), joined(n, "<i8")
+            count = joined(n, "<i8")
             if bucket >= n_buckets:
-                code, count = added(code, count)
+                code, count = added(joined(h, "<i8", rising=True), count)
                 to, blobs = dealt(bucket_of(code >> 8 & 0xFFFFFF, n_buckets), code, count)
                 yield rows(1, to, [blobs[0], [b""] * len(to), blobs[1]])
                 continue
-            part, more = np.repeat(np.array(part, np.int64), [len(x) // 8 for x in h]), joined(g, "<i4")
+            part, code, more = np.repeat(np.array(part, np.int64), [len(x) // 8 for x in h]), joined(h, "<i8"), joined(g, "<i4")
             order = np.lexsort((more, code))
             part, code, more, count = part[order], code[order], more[order], count[order]
             fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (more[1:] != more[:-1])])
@@ -282,7 +292,8 @@ def summed(gathered: DataFrame, n_buckets: int) -> DataFrame:
             for kind, total in ((2, sums.sum()), (3, (sums > 0).sum())):
                 yield rows(kind, np.array([total]), [[b""]] * 3)
 
-    return gathered.repartitionById(2 * n_buckets, F.col("bucket")).mapInArrow(lean(run), "kind int, to long, h binary, g binary, n binary")
+    sent = words.unionByName(grams_.withColumn("bucket", F.col("bucket") + n_buckets)).select("bucket", "part", "h", "g", "n")
+    return sent.repartitionById(2 * n_buckets, F.col("bucket")).mapInArrow(lean(run), "kind int, to long, h binary, g binary, n binary")
 
 
 #: Tasks that add up the counts of short contexts, and the codes of class counts among theirs.
@@ -316,7 +327,7 @@ def grouped(sums: DataFrame, n_buckets: int, depth: int) -> DataFrame:
             ends, a = [*(np.flatnonzero(np.diff(last)) + 1), len(code)], 0
             for k, b in enumerate(ends):
                 if k + 1 == len(ends) or ends[k + 1] - a > ROW_GRAMS:
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([to]), pa.array([code[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], names=["kind", "to", "h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([to]), pa.array([packed(code[a:b])], pa.binary()), pa.array([packed(n[a:b])], pa.binary())], names=["kind", "to", "h", "n"])
                     a = b
 
     return sums.where("kind = 1").select("to", "h", "n").repartitionById(n_buckets, F.col("to").cast("int")).mapInArrow(lean(run), "kind int, to long, h binary, n binary")
@@ -344,9 +355,9 @@ def fit(groups: DataFrame, depth: int) -> Model:
     return Model(code[code < _CLASS], n[code < _CLASS], classes[3:])
 
 
-def answers(gathered: DataFrame, groups: DataFrame, model: Model, n_buckets: int, depth: int) -> DataFrame:
+def answers(grams_: DataFrame, groups: DataFrame, model: Model, n_buckets: int, depth: int) -> DataFrame:
     """(part, h, g): the grams that each part has sent and their log10 probabilities, packed."""
-    shared = gathered.sparkSession.sparkContext.broadcast(model)
+    shared = groups.sparkSession.sparkContext.broadcast(model)
 
     def assess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,14 +379,14 @@ def answers(gathered: DataFrame, groups: DataFrame, model: Model, n_buckets: int
             order = np.argsort(code)
             code, log = code[order], log[order]
             for part, h, _ in rows:
-                own = joined([h], "<i8")
+                own = joined([h], "<i8", rising=True)
                 at = np.minimum(np.searchsorted(code, own), len(code) - 1)
                 if not (code[at] == own).all():
                     raise RuntimeError("a part asks for a gram that it has not sent")
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([h], pa.binary()), pa.array([log[at].tobytes()], pa.binary())], names=["part", "h", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([h], pa.binary()), pa.array([packed(log[at])], pa.binary())], names=["part", "h", "g"])
 
     assessed = groups.where("kind = 1").select("h", "n").mapInArrow(lean(assess), "bucket int, part long, h binary, g binary")
-    sent = gathered.where(F.col("bucket") >= n_buckets).select(F.col("bucket") - n_buckets, "part", "h", F.lit(None).cast("binary").alias("g")).toDF("bucket", "part", "h", "g")
+    sent = grams_.select("bucket", "part", "h", F.lit(None).cast("binary").alias("g"))
     return sent.unionByName(assessed).repartitionById(n_buckets, F.col("bucket")).mapInArrow(lean(reply), "part long, h binary, g binary")
 
 
@@ -386,7 +397,7 @@ class Answers:
         h, g, c = (joined(x, t) for x, t in zip(zip(*words, strict=True), ("<i8", "<i4", "<i8"), strict=True))
         order = np.lexsort((g, h))
         self.h, self.g, self.c, self.unit = h[order], g[order], c[order], unit
-        code, log = (joined(x, t) for x, t in zip(zip(*grams_, strict=True), ("<i8", "<f4"), strict=True))
+        code, log = (joined(x, t, t == "<i8") for x, t in zip(zip(*grams_, strict=True), ("<i8", "<f4"), strict=True))
         order = np.argsort(code, kind="stable")
         self.code, self.logs = code[order], log[order]
 
@@ -432,49 +443,55 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("depth is 3 to 6")
     spark = docs.sparkSession
     ship_package(spark)
-    per = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    split = max(1, round(per / PART_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
-    part = F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64(id_col), F.lit(split))
-    # Written, so that a row's part stays the same whatever is computed again.
-    parts = materialise(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), part.alias("part"), F.coalesce(train, F.lit(False)).alias("train")), "parts")
-    n_parts = int(parts.agg(F.coalesce(F.max("part") + 1, F.lit(1))).first()[0])
-    gathered = materialise(gather(parts, depth, n_parts), "gathered")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    n_bytes = int(rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
+    n_buckets = max(1, -(-n_bytes // BUCKET_BYTES))
+    # Written in one go, so that a text, its words and its grams are of the same part whatever is computed again.
+    path = shared_dir(spark, "gathered")
+    gather(rows, depth, n_buckets).write.partitionBy("kind").parquet(path)
+    every = spark.read.schema("task int, nth int, bucket int, h binary, g binary, n binary, kind int").parquet(path)
+    n_tasks, n_nths = (int(x) for x in every.agg(F.coalesce(F.max("task") + 1, F.lit(1)), F.coalesce(F.max("nth") + 1, F.lit(1))).first())
+    n_parts = n_tasks * n_nths
+    part = (F.col("nth").cast("long") * n_tasks + F.col("task")).alias("part")
+    words, grams_, texts = (every.where(F.col("kind") == k).select(part, "bucket", "h", "g", "n") for k in (WORDS, GRAMS, TEXTS))
+    sums = materialise(summed(words, grams_, n_buckets), "sums")
+    remove(spark, f"{path}/kind={WORDS}")
     release(spark)
-    sums = materialise(summed(gathered, n_parts), "sums")
     n_all, v_all = (int(x) for x in sums.agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("to"))), F.lit(0)) for k in (2, 3))).first())
+    groups = materialise(grouped(sums, n_buckets, depth), "groups")
     release(spark)
-    groups = materialise(grouped(sums, n_parts, depth), "groups")
+    # The folder's files are listed anew, as those of the words are gone.
+    every = spark.read.schema(every.schema).parquet(path)
+    grams_ = every.where(F.col("kind") == GRAMS).select(part, "bucket", "h", "g", "n")
+    logs_of = materialise(answers(grams_, groups, fit(groups, depth), n_buckets, depth), "answers")
+    remove(spark, f"{path}/kind={GRAMS}")
+    remove(spark, groups.scratch)
     release(spark)
-    logs_of = materialise(answers(gathered, groups, fit(groups, depth), n_parts, depth), "answers")
-    for df in (gathered, groups):
-        remove(spark, df.scratch)
-    release(spark)
-    none = lambda t: F.lit(None).cast(t)
-    rows = sums.where("kind = 0").select(F.col("to").alias("part"), F.lit(0).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", "n")
-    rows = rows.unionByName(logs_of.select("part", F.lit(1).alias("at"), none(kind).alias("doc_id"), none("string").alias("text"), "h", "g", none("binary").alias("n")))
-    rows = rows.unionByName(parts.select("part", F.lit(2).alias("at"), "doc_id", "text", *(none("binary").alias(c) for c in "hgn")))
+    texts = spark.read.schema(every.schema).parquet(path).where(F.col("kind") == TEXTS).select(part, "h")
+    none = F.lit(None).cast("binary")
+    rows = sums.where("kind = 0").select(F.col("to").alias("part"), F.lit(0).alias("at"), "h", "g", "n")
+    rows = rows.unionByName(logs_of.select("part", F.lit(1).alias("at"), "h", "g", none.alias("n")))
+    rows = rows.unionByName(texts.select("part", F.lit(2).alias("at"), "h", none.alias("g"), none.alias("n")))
     # One task for each part; parts are of like size, whatever the keys of their rows.
     rows = rows.repartitionById(n_parts, F.col("part").cast("int")).sortWithinPartitions("part", "at")
     names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     unit = math.log10(n_all + v_all + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, got, held = -1, ([], []), None
-        for batch in slices(batches, 3):
-            p_all, at_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((np.diff(p_all) != 0) | (np.diff(at_all) != 0)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(p_all)], strict=True):
-                one = batch.slice(lo, hi - lo)
-                if p_all[lo] != part:
-                    part, got, held = int(p_all[lo]), ([], []), None
-                if at_all[lo] < 2:
-                    got[at_all[lo]].extend(zip(*(one.column(k).to_pylist() for k in ((4, 5, 6) if at_all[lo] == 0 else (4, 5))), strict=True))
+        now, got, held = -1, ([], []), None
+        for batch in batches:
+            for part, at, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, got, held = part, ([], []), None
+                if at < 2:
+                    got[at].append(blobs[: 3 - at])
                     continue
                 if held is None:
                     held, got = Answers(*got, unit), ([], [])
-                n, known, base, model = held.score([t.encode().lower() for t in texts_of(one.column(3))], depth)
-                yield pa.RecordBatch.from_arrays([one.column(2), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(model)], names=names)
+                for one in pa.ipc.open_stream(blobs[0]):
+                    n, known, base, model = held.score([t.encode().lower() for t in texts_of(one.column(1))], depth)
+                    yield pa.RecordBatch.from_arrays([one.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(model)], names=names)
 
     return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
