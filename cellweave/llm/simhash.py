@@ -37,6 +37,9 @@ LIST = 2048
 LONG_LIST = 50_000
 #: Up to so many edges, the rounds of components() write nothing but their result.
 FEW_EDGES = 200_000
+#: While lists hold more pairs of sets in different groups than this for each set, such sets are tried with single ones first, so many times.
+PAIRS_A_SET = 8
+TURNS = 2
 #: Bits of a set in which each shingle flips one.
 FLIPS = 1024
 #: Shingles that are hashed at once.
@@ -518,8 +521,9 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     1. The SimHash index: sets whose fingerprints differ in at most four bits.  It finds most near copies, but cannot promise all
        at this similarity.
     2. Lists of the rarest shingles of each set (rare_postings), which any two similar sets share: each set with the first of its lists.
-    3. In lists that still hold several groups, sets outside the largest with all sets of other groups.  Sizes, places in the order
-       and a bitmap of each set, all of them exact bounds, rule out nearly all pairs that are not similar, inside the join.  As shingles go rarest first, a passage of many documents is in a document's list only where
+    3. In lists that still hold several groups, sets outside the largest: while that leaves many pairs, first with one set of the largest
+       group, another one in each list and turn; then with all sets of other groups.  Sizes, places in the order and a bitmap of each
+       set, all of them exact bounds, rule out nearly all pairs that are not similar, inside the join.  As shingles go rarest first, a passage of many documents is in a document's list only where
        little else is in that document; the work of a list is its length times the sets that belong to none of its largest group.
 
     Texts without words are one group.  Rows are told apart by a number written with them; of a group stays the row with the smallest doc_id, nulls last, then
@@ -596,9 +600,19 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     stars = rooted.join(mixed, "posting").where((F.col("root") != F.col("head_root")) & near("h", "m"))
     links = links.unionByName(verified(stars.select(F.col("h.row").alias("a"), F.col("m.row").alias("b"))))
 
-    rooted = of_groups(links)
-    counts = rooted.groupBy("posting", "root").agg(F.count("*").alias("n"))
-    mixed = materialise(counts.groupBy("posting").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("most")).where("k > 1").select("posting", "most"), "mixed")
+    for turn in range(TURNS + 1):
+        rooted = of_groups(links)
+        any_ = F.min(F.struct(F.xxhash64("posting", F.lit(turn), "m.row"), F.col("m")))["m"]
+        counts = rooted.groupBy("posting", "root").agg(F.count("*").alias("n"), any_.alias("h"))
+        most = F.max_by(F.struct("root", "h", "n"), F.struct("n", "root"))
+        mixed = counts.groupBy("posting").agg(F.count("*").alias("k"), F.sum("n").alias("n"), most.alias("most")).where("k > 1")
+        mixed = materialise(mixed.select("posting", F.col("n").alias("sets"), (F.col("n") - F.col("most.n")).alias("others"), F.col("most.root").alias("most"), F.col("most.h").alias("h")), "mixed")
+        size = mixed.agg(F.coalesce(F.sum("sets"), F.lit(0)).alias("sets"), F.coalesce(F.sum(F.col("sets") * F.col("others")), F.lit(0)).alias("pairs")).first()
+        if turn == TURNS or size["pairs"] <= PAIRS_A_SET * size["sets"]:
+            break
+        tried = rooted.join(mixed, "posting").where((F.col("root") != F.col("most")) & near("h", "m"))
+        links = links.unionByName(verified(tried.select(F.col("h.row").alias("a"), F.col("m.row").alias("b"))))
+    mixed = mixed.select("posting", "most")
     bits = sets.select(F.col("row").alias("_r"), "bits")
     open_ = rooted.join(mixed, "posting").join(bits, F.col("m.row") == F.col("_r")).drop("_r")
     open_ = materialise(open_, "open")

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from cellweave.llm import simhash
 
 
@@ -103,3 +105,22 @@ def test_shingles_of_long_texts_come_in_blocks(monkeypatch):
     whole = simhash.shingle_hashes(text, 5).tolist()
     monkeypatch.setattr(simhash, "BLOCK", 7)
     assert simhash.shingle_hashes(text, 5).tolist() == whole and len(whole) == 46
+
+
+def test_groups_of_documents(spark):
+    """All documents of a small table, against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    groups = brute_groups([t for _, t in rows])
+    assert len(groups) < len(rows)
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(docs).collect()) == sorted(min(rows[k][0] for k in g) for g in groups)
+
+
+def test_bitmaps_never_rule_out_a_link():
+    """Two sets differ in as many shingles at least as their bitmaps do in bits."""
+    texts = hard_cases()
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    bits = [simhash.flipped(x) for x in sets]
+    for a, b in combinations(range(0, len(texts), 3), 2):
+        apart = len(sets[a]) + len(sets[b]) - 2 * len(np.intersect1d(sets[a], sets[b]))
+        assert int(np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).sum()) <= apart
