@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.runtime import lean, read, ship_package, slices, texts_of
-from cellweave.llm.samples import SAMPLE_ROWS, labelled
+from cellweave.llm.samples import SAMPLE_ROWS, measured
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -231,17 +231,9 @@ def matrix(stats: dict[str, np.ndarray]) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Trees:
     """Fit on the statistics of at most `rows` labelled documents, whole texts, whatever their length."""
-    ship_package(docs.sparkSession)
-    names = ["label", *FEATURES]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            x = statistics(texts_of(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), *(pa.array(np.asarray(x[k], float)) for k in FEATURES)], names=names)
-
-    sample = labelled(docs, labels, label, rows, None).select(F.col("label").cast("double"), "text")
-    got = sample.mapInArrow(run, ", ".join(f"{k} double" for k in names)).toPandas().sort_values(names)
-    return fit(got[list(FEATURES)].to_numpy(), (got["label"].to_numpy() > 0).astype(float), np.array(list(FEATURES.values())))
+    names = list(FEATURES)
+    got = measured(docs, labels, label, statistics, names, rows).toPandas().sort_values(["label", *names])
+    return fit(got[names].to_numpy(), (got["label"].to_numpy() > 0).astype(float), np.array(list(FEATURES.values())))
 
 
 def apply_rules(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:

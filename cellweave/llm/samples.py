@@ -6,10 +6,14 @@ copies of a row count once.  Null labels and texts do not take part, nor does th
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.runtime import crc_mod, stable_sample
+from cellweave.llm.runtime import crc_mod, lean, ship_package, slices, stable_sample, texts_of
 
 #: Labelled rows that a classifier is fitted on, and the bytes of text up to which a row may be among them where the text itself
 #: must come to the driver.
@@ -29,18 +33,42 @@ def _once(rows: DataFrame, *by: str) -> DataFrame:
     return first.select("_r.*", "hash", *(c for c in by if c not in ("doc_id", "text", "label")))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, text_bytes: int | None = SAMPLE_TEXT_BYTES) -> DataFrame:
+def _picked(docs: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int | None) -> DataFrame:
+    """(doc_id, text, label) of all rows whose id is among the `rows` labelled ones with the smallest hashes."""
+    picked = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & (crc_mod("_id", 4) != 2))
+    picked = stable_sample(picked.groupBy("_id").agg(F.min("_label").alias("_label")), "_id", rows)
+    found = _usable(docs.select("doc_id", "text"), text_bytes).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    return found.select("doc_id", "text", F.col("_label").alias("label"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES) -> DataFrame:
     """(doc_id, text, label) of at most `rows` documents with a labelled id; of an id's labels the least counts, null ids do not take part.
 
     The ids with the smallest hashes are taken; where ids repeat with different texts, the first `rows` rows in order of hashes.
     """
-    picked = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & (crc_mod("_id", 4) != 2))
-    picked = stable_sample(picked.groupBy("_id").agg(F.min("_label").alias("_label")), "_id", rows)
-    found = _usable(docs.select("doc_id", "text"), text_bytes).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    found = _once(found.select("doc_id", "text", F.col("_label").alias("label")), "doc_id")
+    found = _once(_picked(docs, labels, label, rows, text_bytes), "doc_id")
     return found.orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(rows).select("doc_id", "text", "label")
 
 
+def measured(docs: DataFrame, labels: DataFrame, label: str, measure: Callable[[list[str]], dict[str, np.ndarray]], names: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(label, names), all double: what `measure` makes of the texts of the rows that labelled() would draw if no text were too long.
+
+    Texts are measured by the task that reads them, and only numbers are sorted and sent on: `rows` long texts are more than one task holds.
+    """
+    ship_package(docs.sparkSession)
+    found = _picked(docs, labels, label, rows, None).select("doc_id", "text", F.col("label").cast("double"), F.xxhash64("doc_id", "text").alias("hash"))
+    columns = ["doc_id", "hash", "label", *names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = measure(texts_of(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), *(pa.array(np.asarray(x[k], float)) for k in names)], names=columns)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, " + ", ".join(f"`{k}` double" for k in ("label", *names))
+    once = found.mapInArrow(lean(run), schema).groupBy("doc_id", "hash").agg(F.min(F.struct("label", *names)).alias("_r"))
+    return once.orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(rows).select("_r.*")
+
+
 def by_label(docs: DataFrame, label: str, rows: int, text_bytes: int | None = SAMPLE_TEXT_BYTES) -> DataFrame:
     """(doc_id, text, label) of at most `rows` documents, an equal share for each label; a rare label gives all it has.
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -112,3 +113,21 @@ def test_sample_of_repeated_ids_is_bounded_and_the_same(spark):
     got = samples.labelled(docs, labels, "quality", 30).collect()
     assert len(got) == 30 and all(r["label"] == 0 for r in got if r["doc_id"] == 3)
     assert sorted(got) == sorted(samples.labelled(docs.repartition(9), labels.repartition(3), "quality", 30).collect())
+
+
+def test_rules_learn_from_whole_texts_where_they_are_read(spark, monkeypatch):
+    """Thousands of long texts would not fit the one task that takes the first rows of the sample: no text may get there."""
+    texts = [*some_texts(60, 7), "long words " * 3000, None]
+    docs = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (5, "another text"), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3) for k in range(len(texts))] + [(None, 1)], "doc_id long, quality int")
+    plans, seen, to_pandas, fit = [], [], type(docs).toPandas, quality_rules.fit
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or to_pandas(df))
+    monkeypatch.setattr(quality_rules, "fit", lambda x, y, sign: seen.append((x, y)) or fit(x, y, sign))
+    for rows in (6000, 20):
+        quality_rules.learn(docs, labels, rows=rows)
+        moved = [x for x in plans.pop().splitlines() if re.search("TakeOrdered|Sort|Aggregate|Exchange", x)]
+        assert any("TakeOrdered" in x for x in moved) and not any(re.search(r"\btext#", x) for x in moved)
+        want = samples.labelled(docs, labels, "quality", rows, 1 << 30).collect()
+        x = quality_rules.matrix(quality_rules.statistics([r["text"] for r in want]))
+        got = seen.pop()
+        assert 0 < len(want) <= rows and sorted(map(tuple, np.column_stack(got))) == sorted(map(tuple, np.column_stack((x, [float(r["label"] > 0) for r in want]))))
